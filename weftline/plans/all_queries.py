@@ -1,4 +1,4 @@
 """Loads every query module; the registry then holds all queries."""
 
-from weftline.plans import trace_queries  # noqa: F401
+from weftline.plans import catalog_queries, trace_queries  # noqa: F401
 from weftline.plans.registry import CHECKS, QUERIES  # noqa: F401
