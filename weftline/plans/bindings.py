@@ -353,3 +353,142 @@ SELECT 'p' || CAST(p AS STRING) || '.' || CAST(i AS STRING) AS id, 'p' || CAST(p
 FROM own
 """
 )
+
+# Usages straight from line items; projects p0..p19 by order, columns from the catalog above.
+USAGE_FILES = """
+SELECT 'f' || CAST(o_orderkey AS STRING) AS id, 'p' || CAST(o_orderkey % 20 AS STRING) AS project_id,
+       'src/m' || CAST(o_custkey % 50 AS STRING) || '/f' || CAST(o_orderkey AS STRING) AS file_path,
+       CASE o_orderkey % 7 WHEN 0 THEN 'go' WHEN 1 THEN 'sql' WHEN 2 THEN 'python' WHEN 3 THEN 'java' WHEN 4 THEN 'unknown' WHEN 5 THEN 'cobol' ELSE 'typescript' END AS language
+FROM {orders}
+"""
+
+USAGES = f"""
+SELECT 'u' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS id,
+       'p' || CAST(l_orderkey % 20 AS STRING) AS project_id,
+       'p' || CAST(l_orderkey % 20 AS STRING) || '.' || CAST(CASE WHEN l_partkey % 3 = 0 THEN {HOT} ELSE l_partkey % {N} END AS STRING) AS column_id,
+       'f' || CAST(l_orderkey AS STRING) AS source_file_id, l_linenumber AS line_number,
+       CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'read' WHEN 'AO' THEN 'write' WHEN 'NF' THEN 'update' WHEN 'NO' THEN 'join'
+         WHEN 'RF' THEN 'filter' ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'delete' ELSE 'projection' END END AS usage_type,
+       'take ' || CAST(l_partkey AS STRING) || CASE WHEN l_suppkey % 2 = 0 THEN repeat(' and more', 20) ELSE '' END AS code_snippet,
+       'around line ' || CAST(l_linenumber AS STRING) AS context
+FROM {{lineitem}}
+"""
+
+APPLICATIONS = "SELECT 'a' || CAST(n_nationkey AS STRING) AS id, n_name AS name FROM {nation}"
+
+PROJECTS = """
+SELECT 'c' || CAST(c_custkey AS STRING) AS id, 'u' || CAST(c_custkey % 7 AS STRING) AS user_id,
+       CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'a' || CAST(c_nationkey AS STRING) END AS application_id, c_name AS name,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'completed' WHEN 'MACHINERY' THEN 'failed' WHEN 'AUTOMOBILE' THEN 'processing' ELSE 'pending' END AS status,
+       first_order AS created_at
+FROM {customer} LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey
+"""
+
+PROJECT_FILES = """
+SELECT 'f' || CAST(o_orderkey AS STRING) AS id, 'c' || CAST(o_custkey AS STRING) AS project_id, 'f' || CAST(o_orderkey AS STRING) AS file_path,
+       CASE o_orderkey % 7 WHEN 0 THEN 'go' WHEN 1 THEN 'sql' WHEN 2 THEN 'python' WHEN 3 THEN 'plsql' WHEN 4 THEN 'unknown' WHEN 5 THEN 'cobol' ELSE 'typescript' END AS language
+FROM {orders}
+"""
+
+PROJECT_SCHEMAS = """
+SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS id, 'c' || CAST(o_custkey AS STRING) AS project_id,
+       'supply' || CAST(l_suppkey AS STRING) AS table_name
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+"""
+
+# Project columns and usages: one column per table of a project, one usage per line item.
+PROJECT_COLUMNS = """
+SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) || '.' || CAST(l_suppkey AS STRING) || '.' || CAST(l_partkey AS STRING) AS id,
+       'c' || CAST(o_custkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS schema_id, 'part' || CAST(l_partkey AS STRING) AS column_name
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+"""
+
+PROJECT_USAGES = """
+SELECT 'u' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS id,
+       'c' || CAST(o_custkey AS STRING) AS project_id,
+       'c' || CAST(o_custkey AS STRING) || '.' || CAST(l_suppkey AS STRING) || '.' || CAST(l_partkey AS STRING) AS column_id,
+       'f' || CAST(l_orderkey AS STRING) AS source_file_id
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+"""
+
+# Tables are nations, columns customers; odd nations stay without columns.
+NATION_SCHEMAS = "SELECT 'n' || CAST(n_nationkey AS STRING) AS id, 'r' || CAST(n_regionkey AS STRING) AS project_id, n_name AS table_name FROM {nation}"
+
+NATION_COLUMNS = """
+SELECT 'c' || CAST(c_custkey AS STRING) AS id, 'n' || CAST(c_nationkey * 2 AS STRING) AS schema_id, 'key_' || CAST(c_custkey % 97 AS STRING) AS column_name,
+       c_mktsegment AS data_type, c_custkey % 5 = 0 AS is_primary_key, c_custkey % 4 = 0 AS is_foreign_key,
+       CASE WHEN c_custkey % 4 = 0 THEN 'region' END AS foreign_table, CASE WHEN c_custkey % 4 = 0 THEN 'r_regionkey' END AS foreign_column,
+       CASE WHEN c_custkey % 3 = 0 THEN 'Says ' || c_name END AS ai_description
+FROM {customer}
+"""
+
+COMPONENTS = """
+SELECT 'r' || CAST(r_regionkey AS STRING) AS id, 'p0' AS project_id, r_name AS component_name, 'FUNCTION' AS component_type, CAST(NULL AS STRING) AS component_desc,
+       CAST(NULL AS STRING) AS parent_component_id, false AS is_noise, CAST(r_regionkey AS INT) AS order_seq FROM {region}
+UNION ALL
+SELECT 'n' || CAST(n_nationkey AS STRING), 'p' || CAST(n_regionkey AS STRING), 'TABLE_' || CAST(n_nationkey % 20 AS STRING), 'TABLE', NULL,
+       'r' || CAST(n_regionkey AS STRING), CASE n_nationkey % 9 WHEN 4 THEN true WHEN 5 THEN NULL ELSE false END, CAST(n_nationkey AS INT) FROM {nation}
+UNION ALL
+SELECT 'c' || CAST(c_custkey AS STRING), 'p' || CAST(c_custkey % 5 AS STRING), 'col_' || CAST(c_custkey % 97 AS STRING), 'COLUMN', c_mktsegment,
+       'n' || CAST(c_nationkey AS STRING), false, CAST(NULL AS INT) FROM {customer}
+UNION ALL
+SELECT 'o' || CAST(o_orderkey AS STRING), 'p' || CAST(o_orderkey % 5 AS STRING), 'step_' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 4 = 0 THEN '_with_a_name_that_is_too_long_to_be_shown_whole' ELSE '' END,
+       CASE o_orderkey % 7 WHEN 0 THEN 'PROCEDURE' WHEN 1 THEN 'FUNCTION' WHEN 2 THEN 'QUERY' WHEN 3 THEN 'FUNCTION_CALL' WHEN 4 THEN 'CREATE_TABLE_STATEMENT'
+         WHEN 5 THEN 'CREATE_COLUMN_DEFINITION' ELSE 'TRIGGER' END, NULL,
+       'c' || CAST(o_custkey AS STRING), CASE o_orderkey % 10 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS INT) END FROM {orders}
+"""
+
+TRACE = """
+SELECT 'r' || CAST(n_regionkey AS STRING) AS fk_parent_component_id, 'n' || CAST(n_nationkey AS STRING) AS fk_child_component_id, 'CONTAINS' AS relationship_type FROM {nation}
+UNION ALL
+SELECT 'n' || CAST(c_nationkey AS STRING), 'c' || CAST(c_custkey AS STRING), 'CONTAINS' FROM {customer}
+UNION ALL
+SELECT 'c' || CAST(o_custkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'REFERENCES' FROM {orders}
+UNION ALL
+SELECT 'n' || CAST(c_nationkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'USES' FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+
+# Requests for lineage: every nation's table in all projects of even customers' segments, every customer's column.
+TABLE_ROOTS = """
+SELECT 'TABLE_' || CAST(n_nationkey AS STRING) AS root_id, 'p' || CAST(r_regionkey AS STRING) AS project_id, 'TABLE_' || CAST(n_nationkey AS STRING) AS table_name
+FROM {nation} JOIN {region} ON r_regionkey <= n_nationkey % 5
+"""
+
+COLUMN_ROOTS = """
+SELECT DISTINCT 'TABLE_' || CAST(c_nationkey % 20 AS STRING) || '.col_' || CAST(c_custkey % 97 AS STRING) AS root_id, 'p' || CAST(c_custkey % 5 AS STRING) AS project_id,
+       'TABLE_' || CAST(c_nationkey % 20 AS STRING) AS table_name, 'col_' || CAST(c_custkey % 97 AS STRING) AS column_name
+FROM {customer}
+"""
+
+SOURCES = """
+SELECT 'o' || CAST(l_orderkey AS STRING) AS component_id, 'c' || CAST(l_suppkey AS STRING) AS parent_component_id,
+       'code ' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS source_code,
+       CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber * 10 END AS start_line, l_linenumber * 10 + CAST(l_quantity AS INT) AS end_line
+FROM {lineitem}
+"""
+
+RESULTS = """
+SELECT 'p' || CAST(o_custkey % 20 AS STRING) AS project_id, CASE WHEN o_orderstatus = 'P' THEN 'TABLE' ELSE 'COLUMN' END AS data_lineage_type,
+       o_orderpriority AS table_name, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS column_name,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'tree ' || CAST(o_orderkey AS STRING) END AS lineage_data, o_orderdate AS updated_at
+FROM {orders}
+"""
+
+# A request per pair of neighbouring projects, table and column.
+RESULT_REQUESTS = """
+SELECT DISTINCT 'q' || CAST(CAST(floor((o_custkey % 20) / 2) AS BIGINT) AS STRING) || o_orderpriority || o_orderstatus AS request_id, 'p' || CAST(o_custkey % 20 AS STRING) AS project_id,
+       o_orderpriority AS table_name, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS column_name
+FROM {orders}
+"""
+
+JOBS = """
+SELECT 'j' || CAST(event_id AS STRING) AS id, 'c' || CAST(user_id AS STRING) AS project_id,
+       CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' WHEN 'signup' THEN 'queued' ELSE 'pending' END AS status,
+       CASE event_type WHEN 'click' THEN 'file_scan' WHEN 'view' THEN 'schema_parse' ELSE 'lineage_trace' END AS job_type,
+       CAST(event_id % 17 AS INT) AS progress, CAST(event_id % 23 AS INT) AS total,
+       CASE WHEN event_type = 'error' THEN 'broke' END AS error_message,
+       CASE WHEN event_type = 'click' THEN NULL ELSE ts END AS started_at,
+       CASE WHEN event_type IN ('purchase', 'error') THEN ts + value * INTERVAL '1' SECOND END AS completed_at, ts AS created_at
+FROM {events}
+"""
