@@ -81,14 +81,19 @@ def first_level(hits: DataFrame) -> DataFrame:
     )
 
 
-def _step(frontier: DataFrame, edges: DataFrame, *more: Column) -> DataFrame:
-    return frontier.join(edges, frontier["component_id"] == edges["parent_id"]).select(
-        frontier["root_id"],
-        F.concat(frontier["path"], F.array("ordinal")).alias("path"),
-        (frontier["depth"] + 1).alias("depth"),
-        edges["child_id"].alias("component_id"),
-        edges["parent_id"],
-        edges["kind"],
+def _links(edges: DataFrame) -> DataFrame:
+    """Edges under names of their own, materialised for use at every level."""
+    return cut(edges.select(*[F.col(c).alias(f"_{c}") for c in ("parent_id", "child_id", "kind", "ordinal")]))
+
+
+def _step(frontier: DataFrame, links: DataFrame, *more: Column) -> DataFrame:
+    return frontier.join(links, F.col("component_id") == F.col("_parent_id")).select(
+        "root_id",
+        F.concat("path", F.array("_ordinal")).alias("path"),
+        (F.col("depth") + 1).alias("depth"),
+        F.col("_child_id").alias("component_id"),
+        F.col("_parent_id").alias("parent_id"),
+        F.col("_kind").alias("kind"),
         *more,
     )
 
@@ -103,16 +108,15 @@ def all_paths(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH
     The number of paths grows with the fan-out to the power of the depth: use
     :func:`first_visits` on densely linked components.
     """
-    edges = cut(edges)
+    links = _links(edges)
     frontier = cut(level_one.withColumn("seen", F.array("component_id")))
     tree = frontier
     for _ in range(1, max_depth):
-        repeats = F.array_contains(frontier["seen"], edges["child_id"])
         grown = _step(
             frontier.filter(~F.col("is_cycle")),
-            edges,
-            repeats.alias("is_cycle"),
-            F.concat(frontier["seen"], F.array(edges["child_id"])).alias("seen"),
+            links,
+            F.array_contains("seen", F.col("_child_id")).alias("is_cycle"),
+            F.concat("seen", F.array("_child_id")).alias("seen"),
         )
         frontier = cut(grown.filter((F.col("kind") == "call") | ~F.col("is_cycle")))
         if _is_empty(frontier):
@@ -127,7 +131,7 @@ def first_visits(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
     Other arrivals become cycle leaves (root and call edges) or are dropped
     (trace edges). The rows of a root are bounded by the edges it reaches.
     """
-    edges = cut(edges)
+    links = _links(edges)
     key = ["root_id", "component_id"]
     arrivals = level_one.drop("is_cycle")
     visited, tree = None, None
@@ -145,7 +149,7 @@ def first_visits(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
         expanded = level.filter(~F.col("is_cycle"))
         visited = expanded.select(*key) if visited is None else visited.unionByName(expanded.select(*key))
         if depth < max_depth:
-            arrivals = _step(expanded, edges)
+            arrivals = _step(expanded, links)
     return tree
 
 

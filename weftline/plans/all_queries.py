@@ -1,4 +1,10 @@
 """Loads every query module; the registry then holds all queries."""
 
-from weftline.plans import catalog_queries, report_queries, trace_queries  # noqa: F401
+from weftline.plans import (  # noqa: F401
+    catalog_queries,
+    graph_queries,
+    report_queries,
+    store_queries,
+    trace_queries,
+)
 from weftline.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -492,3 +492,39 @@ SELECT 'j' || CAST(event_id AS STRING) AS id, 'c' || CAST(user_id AS STRING) AS
        CASE WHEN event_type IN ('purchase', 'error') THEN ts + value * INTERVAL '1' SECOND END AS completed_at, ts AS created_at
 FROM {events}
 """
+
+# Calls: every order calls another, customers call a third of their orders.
+HIERARCHY = """
+SELECT 'o' || CAST(o_orderkey AS STRING) AS parent_id, 'o' || CAST((o_orderkey * 7 + 3) % n AS STRING) AS child_id, 'L1' AS hierarchy_level,
+       CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS INT) END AS call_order
+FROM {orders} JOIN (SELECT count(*) AS n FROM {orders}) c ON o_orderkey < n
+UNION ALL
+SELECT 'c' || CAST(o_custkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'L2', CAST(o_orderkey % 9 AS INT) FROM {orders} WHERE o_orderkey % 3 = 0
+"""
+
+FLOWS = """
+SELECT 'p' || CAST(l_orderkey % 5 AS STRING) AS project_id, 'step_' || CAST(l_suppkey % 7 * 7 AS STRING) AS source_table,
+       CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE 'mart_of_suppliers_and_their_many_parts_' || CAST(l_partkey % 40 AS STRING) END AS target_table,
+       'step_' || CAST(l_orderkey AS STRING) AS procedure_name, l_linenumber AS flow_sequence,
+       CASE l_returnflag WHEN 'A' THEN 'LOAD' WHEN 'N' THEN '' ELSE NULL END AS flow_type
+FROM {lineitem}
+"""
+
+# A densely cyclic call graph over parts, every part a root of its own.
+PART_COMPONENTS = """
+SELECT CAST(p_partkey AS STRING) AS id, 'p0' AS project_id, p_name AS component_name, 'FUNCTION' AS component_type, CAST(NULL AS STRING) AS component_desc,
+       CAST(NULL AS STRING) AS parent_component_id, p_size = 50 AS is_noise, p_size AS order_seq
+FROM {part}
+"""
+
+PART_CALLS = """
+SELECT CAST(p_partkey AS STRING) AS parent_id, CAST((3 * p_partkey + 1) % n AS STRING) AS child_id, 'L1' AS hierarchy_level, 0 AS call_order
+FROM {part} JOIN (SELECT count(*) AS n FROM {part}) c ON p_partkey < n
+UNION ALL
+SELECT CAST(p_partkey AS STRING), CAST((5 * p_partkey + 2) % n AS STRING), 'L1', 1 FROM {part} JOIN (SELECT count(*) AS n FROM {part}) c ON p_partkey < n
+"""
+
+PART_TRACE = """
+SELECT CAST(p_partkey AS STRING) AS fk_parent_component_id, CAST((p_partkey + p_size) % n AS STRING) AS fk_child_component_id, 'CALLS' AS relationship_type
+FROM {part} JOIN (SELECT count(*) AS n FROM {part}) c ON p_partkey < n
+"""
