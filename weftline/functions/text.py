@@ -6,6 +6,8 @@ The lineage rules are stated in ECMAScript syntax. Java differs in what ``\\s``,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # The characters ECMAScript counts as white space.
@@ -47,8 +49,116 @@ def java_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """Top-level alternatives; a pattern that is one group, or a boundary and one group, is opened."""
+    opened = re.fullmatch(r"(?:\\b)?\((?:\?:)?(.*)\)(?:\\b)?", pattern, re.S)
+    if opened and _closes_last(pattern):
+        pattern = opened.group(1)
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+def _closes_last(pattern: str) -> bool:
+    """Whether the first group of the pattern closes at its end."""
+    depth, in_class, i = 0, False, 0
+    body = pattern.removesuffix(r"\b")
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0:
+                return i == len(body) - 1
+        i += 1
+    return False
+
+
+def _longest_literal(alternative: str) -> str:
+    """Longest run of characters every match of the alternative contains."""
+    runs, run, i = [], "", 0
+    while i < len(alternative):
+        ch = alternative[i]
+        if ch == "\\":
+            i += 1
+            ch = alternative[i]
+            if ch.isalnum():
+                runs.append(run)
+                run = ""
+            else:
+                run += ch
+        elif ch in "?*{":
+            runs.append(run[:-1])
+            run = ""
+            if ch == "{":
+                i = alternative.index("}", i)
+        elif ch in "([":
+            runs.append(run)
+            run = ""
+            depth, closing = 1, {"(": ")", "[": "]"}[ch]
+            while depth:
+                i += 1
+                if alternative[i] == "\\":
+                    i += 1
+                elif alternative[i] == closing:
+                    depth -= 1
+                elif alternative[i] == ch and ch == "(":
+                    depth += 1
+        elif ch in ".+^$":
+            runs.append(run)
+            run = ""
+        else:
+            run += ch
+        i += 1
+    return max([*runs, run], key=len)
+
+
+def needed_literals(pattern: str) -> list[str]:
+    """Texts of which every match contains at least one; empty where none is known."""
+    found = {_longest_literal(a) for a in _alternatives(pattern)}
+    if any(len(f) < 2 for f in found):
+        return []
+    return sorted(f for f in found if not any(g != f and g in f for g in found))
+
+
+def _may_match(text: Column, pattern: str, ignore_case: bool) -> Column | None:
+    """A plain substring search for what any match must contain.
+
+    Most texts fail it and never reach the regular expression.
+    """
+    literals = needed_literals(pattern)
+    if not literals:
+        return None
+    if ignore_case:
+        return one_of_substrings(F.lower(text), sorted({x.lower() for x in literals}))
+    return one_of_substrings(text, literals)
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return text.rlike(("(?i)" if ignore_case else "") + java_regex(pattern))
+    """Whether the pattern occurs."""
+    hit = text.rlike(("(?i)" if ignore_case else "") + java_regex(pattern))
+    likely = _may_match(text, pattern, ignore_case)
+    return hit if likely is None else likely & hit
 
 
 def extract(text: Column, pattern: str, group: int = 1, ignore_case: bool = False) -> Column:
@@ -60,7 +170,22 @@ def extract(text: Column, pattern: str, group: int = 1, ignore_case: bool = Fals
 def extract_all(text: Column, pattern: str, group: int = 1, ignore_case: bool = False) -> Column:
     """Every match's group in text order, '' where the group does not take part."""
     flag = "(?i)" if ignore_case else ""
-    return F.regexp_extract_all(text, F.lit(flag + java_regex(pattern)), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(flag + java_regex(pattern)), F.lit(group))
+    likely = _may_match(text, pattern, ignore_case)
+    return found if likely is None else F.when(likely, found).otherwise(F.array().cast("array<string>"))
+
+
+def extract_groups(text: Column, pattern: str, groups: dict[str, int], ignore_case: bool = False) -> Column:
+    """Every match as a struct of named groups.
+
+    The text is scanned once for whole matches and each short match is taken
+    apart on its own; a pattern that looks ahead may only look for what ends a match.
+    """
+    whole = ("(?i)" if ignore_case else "") + java_regex(pattern)
+    return F.transform(
+        extract_all(text, pattern, 0, ignore_case),
+        lambda match: F.struct(*[F.regexp_extract(match, whole, g).alias(name) for name, g in groups.items()]),
+    )
 
 
 def trimmed(text: Column) -> Column:

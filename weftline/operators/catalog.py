@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.names import plural_table, to_snake
-from weftline.functions.text import extract, extract_all, java_regex, matches, trimmed
+from weftline.functions.text import extract, extract_all, extract_groups, java_regex, matches, trimmed
 from weftline.sources.corpus import is_orm_schema_file, is_schema_file
 
 # Patterns that find tables and columns, and word lists used with them.
@@ -82,8 +82,7 @@ def _zipped(kind: str, *groups: Column) -> Column:
 
 
 def _blocks(content: Column, pattern: str, ignore_case: bool = False) -> Column:
-    heads = extract_all(content, pattern, 1, ignore_case)
-    return _zipped("array<struct<head:string,body:string>>", heads, extract_all(content, pattern, 2, ignore_case))
+    return extract_groups(content, pattern, {"head": 1, "body": 2}, ignore_case)
 
 
 def _tables(blocks: Column, named: Callable[[Column], Column]) -> Column:
@@ -100,11 +99,11 @@ def _pieces(body: Column, separator: str) -> Column:
     )
 
 
-def _fields(body: Column, pattern: str, groups: int, *more: Column) -> Column:
-    found = [extract_all(body, pattern, g + 1) for g in range(groups)]
-    none = F.transform(found[0], lambda x: F.lit(None).cast("string"))
-    padding = [none] * (4 - groups - len(more))
-    return _zipped(_PART, *found, *more, *padding)
+def _fields(body: Column, pattern: str, groups: int) -> Column:
+    found = extract_groups(body, pattern, {"abcd"[g]: g + 1 for g in range(groups)})
+    none = F.lit(None).cast("string")
+    padding = [none.alias(x) for x in "abcd"[groups:]]
+    return F.transform(found, lambda m: F.struct(*[m[x].alias(x) for x in "abcd"[:groups]], *padding)).cast(_PART)
 
 
 def _always(*parts: Column) -> Column:
@@ -167,7 +166,7 @@ def _sqlalchemy_column(name: Column, args: Column, *_: Column) -> dict[str, Colu
 
 def _go_tables(content: Column) -> Column:
     """Tagged structs; the table may come from a TableName method anywhere in the file."""
-    methods = _zipped("array<struct<s:string,t:string>>", extract_all(content, GO_TABLE, 1), extract_all(content, GO_TABLE, 2))
+    methods = extract_groups(content, GO_TABLE, {"s": 1, "t": 2})
     tagged = F.filter(_blocks(content, GO_STRUCT), lambda t: t["body"].rlike("|".join(GO_TAGS)))
     return _tables(tagged, lambda t: F.get(F.filter(methods, lambda m: m["s"] == t["head"]), 0)["t"])
 
@@ -198,6 +197,13 @@ def _reach_before(body: Column) -> Column:
     return F.aggregate(steps, empty, step, lambda state: F.slice(state["seen"], F.lit(1), F.size(state["seen"]) - 1))
 
 
+def _java_parts(body: Column) -> Column:
+    fields = _fields(body, JAVA_FIELD, 3)
+    return F.zip_with(
+        fields, _reach_before(body), lambda f, before: F.struct(f["a"].alias("a"), f["b"].alias("b"), f["c"].alias("c"), before.alias("d"))
+    )
+
+
 def _jpa_column(explicit: Column, kind: Column, field: Column, before: Column) -> dict[str, Column]:
     return {
         "column_name": F.coalesce(F.nullif(explicit, F.lit("")), to_snake(field)),
@@ -242,7 +248,7 @@ PARSERS = {
     "jpa": Parser(
         applies=lambda content, language: (language == "java") & matches(content, r"@(?:Entity|Table)"),
         tables=lambda content: _tables(_blocks(content, JAVA_ENTITY), lambda t: extract(content, JAVA_TABLE)),
-        parts=lambda body: _fields(body, JAVA_FIELD, 3, _reach_before(body)),
+        parts=_java_parts,
         keep=_always,
         column=_jpa_column,
     ),

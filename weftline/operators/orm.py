@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.orm_rules import CONTEXT_RULES, DEFAULT_USAGE, LINE_RULES, MAPPERS, Mapper
-from weftline.functions.text import extract_all, java_regex, matches
+from weftline.functions.text import extract_all, extract_groups, matches
 
 # Fixed value: languages whose mappers serve each other.
 SCRIPT_LANGUAGES = ["javascript", "typescript"]
@@ -82,10 +82,7 @@ def field_entries(content: Column, orms: Column) -> Column:
     writes = []
     for mapper in MAPPERS:
         for field_group, column_group, pattern in mapper.fields:
-            pairs = F.arrays_zip(
-                extract_all(content, pattern, field_group).alias("f"),
-                extract_all(content, pattern, column_group).alias("c"),
-            ).cast("array<struct<f:string,c:string>>")
+            pairs = extract_groups(content, pattern, {"f": field_group, "c": column_group})
             writes.append(
                 F.when(F.array_contains(orms, mapper.name), pairs).otherwise(_empty("array<struct<f:string,c:string>>"))
             )
@@ -138,7 +135,7 @@ def mapper_usage(context: Column, orms: Column) -> Column:
     for mapper in MAPPERS:
         used = F.array_contains(orms, mapper.name)
         for usage_type, pattern in mapper.usages:
-            hit = used & context.rlike(java_regex(pattern))
+            hit = used & matches(context, pattern)
             usage = F.when(hit, usage_type) if usage is None else usage.when(hit, usage_type)
     return F.when(F.size(orms) > 0, usage)
 

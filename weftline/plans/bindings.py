@@ -23,7 +23,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bind(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:
     """Run a binding on Spark; table names in braces are read from ``sf_dir``, others are ``frames``."""
-    known = [n for n in (*TABLES, *frames) if f"{{{n}}}" in sql]
+    known = [n for n in dict.fromkeys((*TABLES, *frames)) if f"{{{n}}}" in sql]
     text = sql.replace("{", "{{").replace("}", "}}")
     for name in known:
         text = text.replace(f"{{{{{name}}}}}", f"{{{name}}}")

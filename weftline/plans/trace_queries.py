@@ -7,11 +7,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.operators import lines, orm, usage
 from weftline.plans import bindings as b, oracle_text as o
 from weftline.plans.registry import query
+from weftline.session import cut
 from weftline.sources import corpus
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def corpus_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return b.bind(spark, sf, b.CORPUS)
+    """The generated corpus, written once per application like an unpacked archive would be.
+
+    Left as expressions, the template texts would be folded into every filter
+    and pattern that reads them.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        # One order row becomes a whole file, so the rows are spread before they grow.
+        spread = b.load(spark, sf, "orders").repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
+        _WRITTEN[key] = cut(b.bind(spark, sf, b.CORPUS, orders=spread))
+    return _WRITTEN[key]
 
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
