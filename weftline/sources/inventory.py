@@ -221,12 +221,16 @@ def session_metadata(spark: SparkSession, database: str) -> dict[str, DataFrame]
     tables, columns = [], []
     for number, table in enumerate(t for t in spark.catalog.listTables(database) if not t.isTemporary):
         tables.append((number, 0, table.name, False))
-        for place, column in enumerate(spark.catalog.listColumns(f"{database}.{table.name}"), 1):
-            kind, _, rest = column.dataType.partition("(")
-            numbers = [int(x) for x in rest.rstrip(")").split(",")] if rest else []
+        full = f"`{database}`.`{table.name}`"
+        described = {r.col_name: r for r in reversed(spark.sql(f"DESCRIBE TABLE {full}").collect())}
+        for place, field in enumerate(spark.table(full).schema, 1):
+            # The described type keeps the length of a varchar, the schema does not.
+            kind, _, rest = described[field.name].data_type.partition("(")
+            numbers = [int(x) for x in rest.rstrip(")").split(",")] if kind in LENGTH_TYPES + SCALE_TYPES else []
             length = numbers[0] if kind in LENGTH_TYPES and numbers else -1
             precision, scale = (numbers + [0, 0])[:2] if kind in SCALE_TYPES else (0, 0)
-            columns.append((number, place, column.name, kind, length, precision, scale, column.nullable, False, column.description))
+            comment = described[field.name].comment
+            columns.append((number, place, field.name, kind, length, precision, scale, field.nullable, False, comment))
     fields = "object_id int, column_id int, column_name string, type_id string, max_length int, precision int, scale int, is_nullable boolean, is_identity boolean, column_description string"
     known = spark.createDataFrame(columns, fields)
     place = "object_id int, column_id int"
