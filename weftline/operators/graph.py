@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.functions.display import clipped, uuid_number
 from weftline.operators.ranking import numbered
 from weftline.operators.reports import not_noise
-from weftline.session import cut
+from weftline.session import cut_level
 
 # Depth limit, node types and colours, marks on special nodes.
 MAX_DEPTH = 10
@@ -83,7 +83,7 @@ def first_level(hits: DataFrame) -> DataFrame:
 
 def _links(edges: DataFrame) -> DataFrame:
     """Edges under names of their own, materialised for use at every level."""
-    return cut(edges.select(*[F.col(c).alias(f"_{c}") for c in ("parent_id", "child_id", "kind", "ordinal")]))
+    return cut_level(edges.select(*[F.col(c).alias(f"_{c}") for c in ("parent_id", "child_id", "kind", "ordinal")]))
 
 
 def _step(frontier: DataFrame, links: DataFrame, *more: Column) -> DataFrame:
@@ -109,7 +109,7 @@ def all_paths(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH
     :func:`first_visits` on densely linked components.
     """
     links = _links(edges)
-    frontier = cut(level_one.withColumn("seen", F.array("component_id")))
+    frontier = cut_level(level_one.withColumn("seen", F.array("component_id")))
     tree = frontier
     for _ in range(1, max_depth):
         grown = _step(
@@ -118,7 +118,7 @@ def all_paths(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH
             F.array_contains("seen", F.col("_child_id")).alias("is_cycle"),
             F.concat("seen", F.array("_child_id")).alias("seen"),
         )
-        frontier = cut(grown.filter((F.col("kind") == "call") | ~F.col("is_cycle")))
+        frontier = cut_level(grown.filter((F.col("kind") == "call") | ~F.col("is_cycle")))
         if _is_empty(frontier):
             break
         tree = tree.unionByName(frontier)
@@ -136,7 +136,7 @@ def first_visits(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
     arrivals = level_one.drop("is_cycle")
     visited, tree = None, None
     for depth in range(1, max_depth + 1):
-        arrivals = cut(arrivals)
+        arrivals = cut_level(arrivals)
         if _is_empty(arrivals):
             break
         fresh = arrivals if visited is None else arrivals.join(visited, key, "left_anti")
@@ -144,7 +144,7 @@ def first_visits(level_one: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
         placed = arrivals.join(winners, key, "left").withColumn(
             "is_cycle", ~F.coalesce(F.col("path") == F.col("_first"), F.lit(False))
         )
-        level = cut(placed.filter((F.col("kind") != "trace") | ~F.col("is_cycle")).select(*NODE))
+        level = cut_level(placed.filter((F.col("kind") != "trace") | ~F.col("is_cycle")).select(*NODE))
         tree = level if tree is None else tree.unionByName(level)
         expanded = level.filter(~F.col("is_cycle"))
         visited = expanded.select(*key) if visited is None else visited.unionByName(expanded.select(*key))

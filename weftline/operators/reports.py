@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.display import duration_text, progress_percent
 from weftline.operators.ranking import PAGE_ROWS, nested_pages, numbered
+from weftline.session import cut
 from weftline.sources.corpus import KNOWN_LANGUAGES, UNKNOWN_LANGUAGE
 
 COLUMN_KEY = ["project_id", "table_name", "column_name"]
@@ -71,7 +72,7 @@ def column_totals(per_file: DataFrame) -> DataFrame:
 
 def column_summary(detail: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Column totals with the files as nested lists, ``page_rows`` files to a row."""
-    per_file = file_summary(detail)
+    per_file = cut(file_summary(detail))
     item = F.struct("file_id", "file_path", "language", "usage_types", "line_numbers")
     order = [F.col("file_path"), F.col("file_id")]
     pages = nested_pages(per_file, COLUMN_KEY, order, item, "files", page_rows)

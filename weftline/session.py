@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and drop its lineage."""
+    """Write ``df`` to the checkpoint folder and go on from what was written.
+
+    The written table survives lost executors, is computed once, and its size is
+    known to the planner, which then broadcasts it where it is small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/weftline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_level(df: DataFrame) -> DataFrame:
+    """Checkpoint one level of an iteration; the next level starts from the same partitions."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
