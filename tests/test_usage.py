@@ -92,13 +92,13 @@ def case(spark):
     return files, frame, catalog
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 @pytest.mark.parametrize("block_lines", [1000, 3])
-def test_trace_equals_trying_every_spelling(case, monkeypatch, broadcast_rows, block_lines):
+def test_trace_equals_trying_every_spelling(case, monkeypatch, broadcast_bytes, block_lines):
     files, frame, catalog = case
     if block_lines != 1000:
         monkeypatch.setattr(usage, "line_blocks", lambda f, carry=None: lines.line_blocks(f, carry, block_lines))
-    rows = usage.trace_usages(frame, catalog, broadcast_rows=broadcast_rows).collect()
+    rows = usage.trace_usages(frame, catalog, broadcast_bytes=broadcast_bytes).collect()
     got = [(r.source_file_id, r.line_number, r.column_id, r.strategy, r.usage_type) for r in rows]
     want = expected(files)
     assert len(want) > 300

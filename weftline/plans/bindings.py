@@ -322,7 +322,7 @@ SELECT 'f' || CAST(n AS STRING) AS id,
 FROM named
 """
 
-# A catalog per project; which columns a project has differs.
+# A catalog per project: the columns its orders point at.
 _PROJECT_PICKS = f"""
 WITH picks AS ({PICKS}),
 named AS (
@@ -332,7 +332,7 @@ named AS (
 ),
 own AS (
   SELECT p, picks.i, tbl, col, typ, is_pk, ftab, fcol
-  FROM named JOIN picks ON picks.i = named.i WHERE picks.i = {HOT} OR (p + picks.i) % 5 <> 0
+  FROM named JOIN picks ON picks.i = named.i
 )
 """
 
@@ -493,13 +493,13 @@ SELECT 'j' || CAST(event_id AS STRING) AS id, 'c' || CAST(user_id AS STRING) AS
 FROM {events}
 """
 
-# Calls: every order calls another, customers call a third of their orders.
+# Calls: every order calls another, customers call their finished orders.
 HIERARCHY = """
 SELECT 'o' || CAST(o_orderkey AS STRING) AS parent_id, 'o' || CAST((o_orderkey * 7 + 3) % n AS STRING) AS child_id, 'L1' AS hierarchy_level,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS INT) END AS call_order
 FROM {orders} JOIN (SELECT count(*) AS n FROM {orders}) c ON o_orderkey < n
 UNION ALL
-SELECT 'c' || CAST(o_custkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'L2', CAST(o_orderkey % 9 AS INT) FROM {orders} WHERE o_orderkey % 3 = 0
+SELECT 'c' || CAST(o_custkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'L2', CAST(o_orderkey % 9 AS INT) FROM {orders} WHERE o_orderstatus = 'F'
 """
 
 FLOWS = """

@@ -160,7 +160,7 @@ def column_usages(spark, sf):
 @query("t7_t14_usages_large_dictionary", _with(o.TRACE, select=f"SELECT {_USAGE_COLUMNS} FROM usages"))
 def column_usages_large_dictionary(spark, sf):
     """The same trace the way it runs when the dictionary is too large to broadcast."""
-    return usage.trace_usages(source_files(spark, sf), catalog(spark, sf), broadcast_rows=0)
+    return usage.trace_usages(source_files(spark, sf), catalog(spark, sf), broadcast_bytes=0)
 
 
 @query(
