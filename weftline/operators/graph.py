@@ -3,7 +3,7 @@
 A tree is a relation of nodes ``root_id, path, depth, component_id, parent_id,
 kind, is_cycle``. ``path`` holds the sibling ordinals from the root and sorts
 nodes in pre-order; the root itself has the empty path. All roots grow together,
-one join per level, each level materialised before the next.
+level by level, each level materialised before the next.
 """
 
 from __future__ import annotations
