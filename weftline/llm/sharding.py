@@ -105,6 +105,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
+_BITS = "0::UBIGINT"
+for _bit in range(8):
+    _BITS = f"xor({_BITS}, CASE WHEN b & {1 << _bit} > 0 THEN v[{_bit + 2}] ELSE 0 END)"
+
 _CHECK = f"""
 WITH RECURSIVE steps AS (
   SELECT i AS byte, 0 AS step, CAST(i AS UBIGINT) AS crc FROM range(256) AS t(i)
@@ -113,14 +117,24 @@ WITH RECURSIVE steps AS (
   FROM steps WHERE step < 8
 ), crcs AS (SELECT list(crc ORDER BY byte) AS crcs FROM steps WHERE step = 8
 ), texts AS (
-  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS digits FROM documents
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), shifted AS (
+  -- the checksum is linear: what the start value and each bit of a byte add, k bytes before the end
+  SELECT 0::BIGINT AS k, [4294967295::UBIGINT, crcs[2], crcs[3], crcs[5], crcs[9], crcs[17], crcs[33], crcs[65], crcs[129]] AS v
+  FROM crcs
+  UNION ALL
+  SELECT k + 1, [xor(x >> 8, crcs[1 + CAST(x & 255 AS INTEGER)]) for x in v] FROM shifted, crcs
+  WHERE k < (SELECT max(n) FROM texts)
+), bytes AS (
+  SELECT doc_id, n - 1 - t.i AS k, CAST('0x' || digits[2 * t.i + 1 : 2 * t.i + 2] AS INTEGER) AS b
+  FROM texts, unnest(range(n)) AS t(i)
+), sums AS (
+  SELECT doc_id, bit_xor({_BITS}) AS crc FROM bytes JOIN shifted USING (k) GROUP BY doc_id
 ), sized AS (
-  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(xor(4294967295::UBIGINT, list_reduce(
-           list_prepend(4294967295::UBIGINT,
-             [CAST('0x' || digits[2 * i + 1 : 2 * i + 2] AS UBIGINT) for i in range(strlen(text))]),
-           lambda a, b: xor(a >> 8, crcs[1 + CAST(xor(a, b) & 255 AS INTEGER)]))) AS BIGINT) AS text_crc32,
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size,
+         CAST(xor(xor(v[1], 4294967295::UBIGINT), coalesce(crc, 0::UBIGINT)) AS BIGINT) AS text_crc32,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash
-  FROM texts, crcs
+  FROM texts JOIN shifted ON k = n LEFT JOIN sums USING (doc_id)
 ), jumps AS (
   SELECT doc_id, shards, CAST('0x' || hash[1:16] AS UBIGINT) AS key, -1::BIGINT AS shard, 0::BIGINT AS jump
   FROM sized, (VALUES ({SHARDS}), ({SHARDS + 1})) AS t(shards)
