@@ -128,11 +128,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     visit = F.struct(F.col("guest_of").alias("place"), F.lit(True).alias("guest"))
     seats = F.explode(F.when(F.col("guest_of").isNull(), F.array(own)).otherwise(F.array(own, visit)))
     seated = placed.join(known, same, "left").select("doc_id", "text", "anchors", "hash", seats.alias("seat"))
-    line = Window.partitionBy("seat.place").orderBy("seat.guest", *order)
+    # plain columns, so that both columns of the next row come from one window and one exchange
+    seated = seated.select("doc_id", "text", "anchors", "hash", "seat.place", "seat.guest")
+    line = Window.partitionBy("place").orderBy("guest", *order)
+    following = F.lead("text").over(line).alias("next_text"), F.lead("anchors").over(line).alias("next_anchors")
     return (
-        seated.withColumn("next_text", F.lead("text").over(line))
-        .withColumn("next_anchors", F.lead("anchors").over(line))
-        .where("not seat.guest")
+        seated.select("doc_id", "text", "anchors", "guest", *following)
+        .where("not guest")
         .select("doc_id", "text", "anchors", "next_text", "next_anchors")
     )
 
