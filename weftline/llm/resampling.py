@@ -132,7 +132,8 @@ def log_weight(spark: SparkSession, text: Column, ratio: np.ndarray) -> Column:
                 out.append(float(terms[np.abs(terms) > NOISE].sum(dtype=np.float64)))
             yield pd.Series(out, dtype="float64")
 
-    return weigh(text_bytes(text))
+    # else the optimizer would compute it anew for a filter on it
+    return weigh.asNondeterministic()(text_bytes(text))
 
 
 def gumbel(seed: int, *columns: str) -> Column:
