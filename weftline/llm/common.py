@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weftline.session import checkpoint_dir
+
 #: What separates words where a contract says so, as bytes and as a Java character class.
 SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -42,3 +46,10 @@ def hex_long(digits: Column) -> Column:
 
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
+
+
+def cut_packed(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` to the checkpoint folder with a given compression and go on from what was written."""
+    path = f"{checkpoint_dir(df.sparkSession)}/weftline/{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm.common import documents, text_bytes
+from weftline.llm.common import cut_packed, documents, text_bytes
 from weftline.llm.registry import query
 from weftline.session import cut
 
 ORDER = 5
 #: Bytes of text in a block on average, and bytes and texts of it that are worked on at a time.
-BLOCK = 32 << 20
-CHUNK = 4 << 20
+BLOCK = 24 << 20
+CHUNK = 1 << 20
 CHUNK_TEXTS = 1 << 15
 #: Windows whose probabilities are worked out together, on average.
 GROUP = 200_000
@@ -191,14 +191,16 @@ def _scorer(total: int, distinct: int, ends: int):
         keys, logp = coded["window"].to_numpy(), coded["value"].to_numpy()
         order = np.argsort(keys)
         keys, logp = keys[order], logp[order]
+        del coded, order
         # words that no other block has are counted here
         counts: Counter = Counter()
         for text, out in zip(texts, held):
             if not out:
                 counts.update(tokens(text))
-        shared = known.filter(known["word"].is_valid())
-        for word, n in zip(shared["word"].to_pylist(), shared["value"].to_pylist()):
-            counts[word] = int(n)
+        shared = known.filter(known["word"].is_valid()).select(["word", "value"])
+        for batch in shared.to_batches(max_chunksize=1 << 14):
+            for word, n in zip(batch["word"].to_pylist(), batch["value"].to_pylist()):
+                counts[word] = int(n)
         scores = np.zeros(len(texts))
         for a, b in _chunks(texts):
             found, of = windows(texts[a:b])
@@ -243,7 +245,7 @@ def score(docs: DataFrame) -> DataFrame:
         text_bytes(F.col("text")).alias("text"),
         (F.crc32(name) % 7 == 2).alias("held_out"),
     )
-    parts = cut(dealt.groupBy("block").applyInArrow(count_block, PARTS_DDL))
+    parts = cut_packed(dealt.groupBy("block").applyInArrow(count_block, PARTS_DDL))
     of_windows = parts.where("window is not null")
     trie = cut(of_windows.groupBy("window").agg(F.sum("n").alias("n")))
     ends = docs.where(F.crc32(name) % 7 != 2).count()
