@@ -31,7 +31,7 @@ from weftline.session import cut
 
 ORDER = 5
 #: Bytes of text in a block on average, and bytes and texts of it that are worked on at a time.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 CHUNK = 1 << 20
 CHUNK_TEXTS = 1 << 15
 #: Windows whose probabilities are worked out together, on average.
@@ -100,6 +100,7 @@ def count_block(block: pa.Table) -> pa.Table:
             if word not in words:
                 words[word] = 0
     n_windows, n_words = len(keys) + len(others), len(words)
+    pa.default_memory_pool().release_unused()
     return pa.table(
         [
             pa.array(np.full(n_windows + n_words, number, np.int32)),
@@ -218,6 +219,7 @@ def _scorer(total: int, distinct: int, ends: int):
             n_tokens.append(len(seen) + 1)
             n_known.append(int(np.count_nonzero(seen)) + (ends > 0))
             base.append(float(np.log10((seen + 1) / scale).sum() + end))
+        pa.default_memory_pool().release_unused()
         return pa.table(
             [block["doc_id"], block["held_out"], n_tokens, n_known, base, pa.array(scores)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
