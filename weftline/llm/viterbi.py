@@ -14,8 +14,8 @@ those of the public unigram tokenizers:
 
 Scores are added in double precision.
 
-Where no piece has the mark after another character, no segmentation crosses
-from one marked word to the next, so words are counted one by one, and a word
+Where no piece has the mark after another character, and a mark is never part of
+an unknown run, no segmentation crosses from one marked word to the next, so words are counted one by one, and a word
 that comes again is not computed again.
 """
 
@@ -78,6 +78,8 @@ class Counter:
         self.any = bool(vocabulary.pieces)
         self.unknown = min((score for _, score in vocabulary.pieces), default=0.0) - UNKNOWN
         crossing = any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _ in vocabulary.pieces)
+        # a run of unknown characters may count once across words, if the mark can be one of them
+        crossing |= not vocabulary.byte_pieces and MARK not in dict(vocabulary.pieces)
         self.split = re.compile("(?s).+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.known: dict[str, tuple[int, float]] = {}
 
