@@ -67,6 +67,11 @@ def test_trees(spark, tmp_path):
     (tmp_path / "src" / "model").mkdir(parents=True)
     (tmp_path / "src" / "model" / "a.go").write_text("package a\n")
     (tmp_path / "src" / "note.txt").write_text("no")
-    rows = corpus.read_tree(spark, f"file:{tmp_path}", "p").collect()
-    assert [(r.project_id, r.language, r.content) for r in rows] == [("p", "go", "package a\n")]
-    assert rows[0].file_path.endswith("src/model/a.go")
+    (tmp_path / "my dir").mkdir()
+    (tmp_path / "my dir" / "b +%41é.py").write_text("x = 1\n")
+    for root in (f"file:{tmp_path}", f"file://{tmp_path}/", str(tmp_path)):
+        rows = corpus.read_tree(spark, root, "p").collect()
+        assert sorted((r.project_id, r.language, r.file_path, r.content) for r in rows) == [
+            ("p", "go", "src/model/a.go", "package a\n"),
+            ("p", "python", "my dir/b +%41é.py", "x = 1\n"),
+        ]

@@ -158,3 +158,9 @@ def test_last_field_write_wins(spark):
     frame = spark.createDataFrame([("f", "p", "go", content)], "id string, project_id string, language string, content string")
     # JSON names are written after column names, so they win.
     assert {(r.field, r.column_name) for r in orm.field_columns(frame).collect()} == {("a", "two"), ("b", "three")}
+
+
+def test_letters_beyond_ascii_bound_a_word(spark):
+    line = spark.createDataFrame([("orderİ = 1; Kelvin.\u212aey = ÀTotal_ID",)], "line string")
+    found = line.select(usage.line_tokens(F.col("line"))).first()[0]
+    assert set(found) == {"order", "1", "kelvin", "ey", "total_id"}

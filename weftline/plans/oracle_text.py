@@ -142,9 +142,9 @@ table_words AS (
 """
 
 TOKENS = """
-words AS (SELECT DISTINCT file_id, line_number, unnest(regexp_extract_all(lower(line), '[a-z0-9_]+')) AS token FROM code_lines),
+words AS (SELECT DISTINCT file_id, line_number, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS token FROM code_lines),
 chains AS (
-  SELECT file_id, line_number, string_split(unnest(regexp_extract_all(lower(line), '[a-z0-9_]+(?:[.][a-z0-9_]+)+')), '.') AS parts FROM code_lines
+  SELECT file_id, line_number, string_split(unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+(?:[.][a-z0-9_]+)+')), '.') AS parts FROM code_lines
 ),
 pairs AS (
   SELECT DISTINCT file_id, line_number, unnest(list_transform(range(1, len(parts)), lambda i: parts[i] || '.' || parts[i + 1])) AS token FROM chains

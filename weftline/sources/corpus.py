@@ -142,13 +142,17 @@ def read_archives(spark: SparkSession, path: str, project: Column | None = None)
 
 def read_tree(spark: SparkSession, path: str, project_id: str) -> DataFrame:
     """A folder of unpacked files → source files, paths relative to the folder."""
-    root = path.rstrip("/")
-    text = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    full = F.col("_metadata.file_path")
-    at = F.locate(root + "/", full)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    root = files.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    # the metadata column is a URL; a plus sign in it is itself, not a space
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    full = F.regexp_replace(full, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    outside = F.raise_error(F.concat(F.lit("not below the folder: "), full)).cast("string")
     entries = text.select(
         F.lit(project_id).alias("project_id"),
-        F.substring(full, at + F.lit(len(root) + 1), F.length(full)).alias("file_path"),
+        F.when(F.startswith(full, F.lit(root)), F.substring(full, len(root) + 1, 1 << 30)).otherwise(outside).alias("file_path"),
         F.col("value").alias("content"),
     )
     return _source_files(entries)
