@@ -85,6 +85,8 @@ PARTS_DDL = "block int, window bigint, word binary, n bigint"
 
 def count_block(block: pa.Table) -> pa.Table:
     """Distinct windows and words of a block with their counts in its training texts (0: only held out)."""
+    # what a worker no longer needs goes back at once, instead of waiting in a pool for its next task
+    pa.set_memory_pool(pa.system_memory_pool())
     number = block["block"][0].as_py()
     texts = block["text"].to_pylist()
     held = block["held_out"].to_pylist()
@@ -100,7 +102,6 @@ def count_block(block: pa.Table) -> pa.Table:
             if word not in words:
                 words[word] = 0
     n_windows, n_words = len(keys) + len(others), len(words)
-    pa.default_memory_pool().release_unused()
     return pa.table(
         [
             pa.array(np.full(n_windows + n_words, number, np.int32)),
@@ -186,6 +187,7 @@ def _scorer(total: int, distinct: int, ends: int):
     scale = total + distinct + 1
 
     def score(block: pa.Table, known: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         texts = block["text"].to_pylist()
         held = block["held_out"].to_pylist()
         coded = known.filter(known["window"].is_valid())
@@ -219,7 +221,6 @@ def _scorer(total: int, distinct: int, ends: int):
             n_tokens.append(len(seen) + 1)
             n_known.append(int(np.count_nonzero(seen)) + (ends > 0))
             base.append(float(np.log10((seen + 1) / scale).sum() + end))
-        pa.default_memory_pool().release_unused()
         return pa.table(
             [block["doc_id"], block["held_out"], n_tokens, n_known, base, pa.array(scores)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
