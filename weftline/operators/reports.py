@@ -256,13 +256,10 @@ def components_of_tables(roots: DataFrame, components: DataFrame, trace: DataFra
     edges = trace.select(
         F.col("fk_parent_component_id").alias("_table"), F.col("fk_child_component_id").alias("component_id")
     )
-    wanted = roots.select("root_id", "project_id", "table_name").join(tables, "table_name")
-    return (
-        wanted.join(edges, "_table")
-        .join(_children(components), ["component_id", "project_id"])
-        .select(*ROOT_HIT)
-        .distinct()
-    )
+    # Children first: a root then meets those of its own project only, not all tables of its name.
+    below = tables.join(edges, "_table").join(_children(components), "component_id").drop("_table").distinct()
+    wanted = roots.select("root_id", "project_id", "table_name").distinct()
+    return wanted.join(below, ["table_name", "project_id"]).select(*ROOT_HIT).distinct()
 
 
 def components_of_columns(roots: DataFrame, components: DataFrame, trace: DataFrame) -> DataFrame:
@@ -278,15 +275,15 @@ def components_of_columns(roots: DataFrame, components: DataFrame, trace: DataFr
     edges = trace.select(
         F.col("fk_parent_component_id").alias("_column"), F.col("fk_child_component_id").alias("component_id")
     )
-    wanted = roots.select("root_id", "project_id", "table_name", "column_name").join(
-        own.join(tables, "_table"), ["table_name", "column_name"]
-    )
-    return (
-        wanted.join(edges, "_column")
-        .join(_children(components), ["component_id", "project_id"])
-        .select(*ROOT_HIT)
+    below = (
+        own.join(tables, "_table")
+        .join(edges, "_column")
+        .join(_children(components), "component_id")
+        .drop("_table", "_column")
         .distinct()
     )
+    wanted = roots.select("root_id", "project_id", "table_name", "column_name").distinct()
+    return wanted.join(below, ["table_name", "column_name", "project_id"]).select(*ROOT_HIT).distinct()
 
 
 def files_of_roots(roots: DataFrame, detail: DataFrame, by_column: bool = False, per_usage: bool = False) -> DataFrame:
