@@ -20,6 +20,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     Rows are range-partitioned by key and order and materialised, so that a
     recomputed task cannot see other range bounds. Each (range, group) piece is
     numbered on its own and shifted by the rows of the group in earlier ranges.
+    Only the first group of a range can have such rows, so there is at most one
+    shift per range: few enough to broadcast whatever the size of ``df``.
     """
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
     ranged = cut(ranged)
@@ -28,15 +30,15 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     shifts = pieces.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
-    )
+        F.sum("_n").over(earlier).alias("_shift"),
+    ).filter("_shift > 0")
     same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     within = Window.partitionBy("_range", *keys).orderBy(*order)
     return (
-        ranged.join(shifts, same)
-        .withColumn(name, F.row_number().over(within) + F.col("_shift"))
+        ranged.join(F.broadcast(shifts), same, "left")
+        .withColumn(name, F.row_number().over(within) + F.coalesce("_shift", F.lit(0)))
         .drop("_range", "_r", "_shift", *[f"_k{i}" for i in range(len(keys))])
     )
 
