@@ -72,6 +72,11 @@ def test_shared_child_of_a_diamond(spark):
     assert listing(graph.lineage_tree(start, links)) == ["a", "  b", "    d", "  c", "    d*"]
 
 
+def test_each_repeated_call_is_a_cycle_leaf(spark):
+    links = edges(spark, components(spark, "abc"), calls=[("a", "b", 0), ("a", "c", 1), ("a", "b", 2), ("a", "b", 2)])
+    assert listing(graph.lineage_tree(hits(spark, ("r", "a")), links)) == ["a", "  b", "  c", "  b*", "  b*"]
+
+
 def test_shared_child_reached_by_trace_is_dropped(spark):
     links = edges(spark, components(spark, "abcd"), calls=[("a", "b", 0), ("a", "c", 1)], traces=[("b", "d"), ("c", "d")])
     assert listing(graph.lineage_tree(hits(spark, ("r", "a")), links)) == ["a", "  b", "    d", "  c"]
@@ -179,19 +184,30 @@ def test_exports(spark, decorated, tmp_path):
     import json
 
     roots, nodes = decorated
-    doc = json.loads(export.nested_json(nodes, 4).first().json)
+    columns = spark.createDataFrame(
+        [("r", 1, "id", "k1", "#b2f1ca"), ("r", 2, "mail", "k2", "#FFFFFF")],
+        "root_id string, position int, name string, component_id string, color string",
+    )
+    flows = spark.createDataFrame(
+        [("p", "users", "mart", "name_aaaaaaaa-1", 2, "")],
+        "project_id string, source_table string, target_table string, procedure_name string, flow_sequence int, flow_type string",
+    )
+    export.write_json(graph.with_flows(nodes, roots, flows), str(tmp_path / "json"), columns)
+    stored = spark.read.parquet(str(tmp_path / "json")).orderBy("seq").collect()
+    doc = json.loads("".join(r.text for r in stored))
     assert doc["name"] == "users" and [c["type"] for c in doc["children"]] == ["PROCEDURE"]
-    leafs = doc["children"][0]["children"][0]["children"]
-    assert [x["name"] for x in leafs] == ["[Cycle] name_aaaaaaaa-1", "name_c"]
-    assert export.nested_json(nodes, 4, document_nodes=3).count() == 0
-    assert export.json_rows(nodes, larger_than=3).count() == 5
-    columns = spark.createDataFrame([("r", 1, "id"), ("r", 2, "mail")], "root_id string, position int, name string")
+    assert [c["name"] for c in doc["typeInformations"]] == ["id", "mail"]
+    call, flow = doc["children"][0]["children"]
+    assert [x["name"] for x in call["children"]] == ["[Cycle] name_aaaaaaaa-1", "name_c"]
+    assert (flow["name"], flow["componentDesc"], flow["children"], flow["typeInformations"]) == ("mart", "ETL: TRANSFORM", [], [])
+    assert (call["childNoiseCount"], call["childNoNoiseCount"]) == (0, 0)
+    bare = export.json_fragments(nodes).orderBy(*export.FRAGMENT_ORDER).collect()
+    assert json.loads("".join(r.text for r in bare))["typeInformations"] == []
+    assert export.json_rows(nodes).count() == 5
     lines = [r.line for r in export.report_lines(nodes, columns).collect()]
     assert lines[:5] == ["TABLE: users", "  Columns:", "    - id", "    - mail", "  PROCEDURE: name_aaaaaaaa-1"]
     export.write_report(export.report_lines(nodes, columns), str(tmp_path / "report"))
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == lines
-    export.write_json(nodes, str(tmp_path / "json"), 4, document_nodes=3)
-    assert spark.read.parquet(str(tmp_path / "json" / "rows")).count() == 5
 
 
 def test_files_stand_in_for_components(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.functions.display import clipped, uuid_number
 from weftline.operators.ranking import numbered
 from weftline.operators.reports import not_noise
-from weftline.session import cut_level
+from weftline.session import cut, cut_level
 
 # Depth limit, node types and colours, marks on special nodes.
 MAX_DEPTH = 10
@@ -46,8 +46,8 @@ NODE = ["root_id", "path", "depth", "component_id", "parent_id", "kind", "is_cyc
 
 
 def child_edges(hierarchy: DataFrame, trace: DataFrame, components: DataFrame) -> DataFrame:
-    """``parent_id, child_id, kind, ordinal``: calls first, then traces that are not also calls."""
-    calls = hierarchy.groupBy("parent_id", "child_id").agg(F.min("call_order").alias("call_order"))
+    """``parent_id, child_id, kind, ordinal``: each call, repeats too, then traces that are not also calls."""
+    calls = hierarchy.select("parent_id", "child_id", "call_order")
     pairs = trace.select(
         F.col("fk_parent_component_id").alias("parent_id"), F.col("fk_child_component_id").alias("child_id")
     ).distinct()
@@ -257,21 +257,26 @@ def with_flows(nodes: DataFrame, roots: DataFrame, flows: DataFrame, strict: boo
     that table's name.
     """
     wanted = roots.select("root_id", "project_id", "table_name").distinct()
-    own = flows.join(wanted, "project_id").filter(F.col("target_table") != "")
-    if strict:
-        own = own.filter(F.col("source_table") == F.col("table_name")).withColumn("_name", F.col("source_table"))
-    else:
-        own = own.withColumn("_name", F.col("procedure_name")).filter(F.col("_name").isNotNull())
-    order = [F.col("flow_sequence").asc_nulls_last(), F.col("target_table"), F.coalesce("flow_type", F.lit(""))]
-    placed = numbered(
-        own.select("root_id", "_name", "flow_sequence", "target_table", "flow_type"), ["root_id", "_name"], order, "_place"
-    )
+    nodes = cut(nodes)
     procedures = nodes.filter(F.col("type") == "PROCEDURE").select(
         "root_id", "path", "depth", F.col("component_id").alias("parent_id"), F.col("name").alias("_name")
     )
+    steps = flows.filter(F.col("target_table") != "").select(
+        "project_id",
+        F.col("source_table" if strict else "procedure_name").alias("_name"),
+        "flow_sequence",
+        "target_table",
+        "flow_type",
+    )
+    # From the procedures on: a flow meets only nodes of its name and project, never all roots of the project.
+    asked = procedures.join(wanted, "root_id")
+    if strict:
+        asked = asked.filter(F.col("table_name") == F.col("_name"))
+    order = [F.col("flow_sequence").asc_nulls_last(), F.col("target_table"), F.coalesce("flow_type", F.lit(""))]
+    placed = numbered(asked.join(steps, ["project_id", "_name"]), ["root_id", "path"], order, "_place")
     none = F.lit(None).cast("string")
     target = F.col("target_table")
-    added = procedures.join(placed, ["root_id", "_name"]).select(
+    added = placed.select(
         "root_id",
         F.concat("path", F.array(F.col("_place") + AFTER_COMPONENTS)).alias("path"),
         (F.col("depth") + 1).alias("depth"),

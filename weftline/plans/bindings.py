@@ -500,6 +500,8 @@ SELECT 'o' || CAST(o_orderkey AS STRING) AS parent_id, 'o' || CAST((o_orderkey *
 FROM {orders} JOIN (SELECT count(*) AS n FROM {orders}) c ON o_orderkey < n
 UNION ALL
 SELECT 'c' || CAST(o_custkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'L2', CAST(o_orderkey % 9 AS INT) FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL
+SELECT 'c' || CAST(o_custkey AS STRING), 'o' || CAST(o_orderkey AS STRING), 'L2', CAST(o_orderkey % 9 + o_orderkey % 2 AS INT) FROM {orders} WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0
 """
 
 FLOWS = """

@@ -9,7 +9,7 @@ from weftline.plans import bindings as b
 from weftline.plans.bindings import bind, plain
 from weftline.plans.registry import query
 
-DEPTH = 3
+DEPTH = graph.MAX_DEPTH
 
 
 def _ctes(**ctes: str) -> str:
@@ -21,14 +21,13 @@ def _shown(tree):
 
 
 _EDGES = """
-calls AS (SELECT parent_id, child_id, min(call_order) AS call_order FROM hierarchy GROUP BY ALL),
 linked AS (
-  SELECT parent_id, child_id, 'call' AS kind, call_order FROM calls
+  SELECT parent_id, child_id, 'call' AS kind, call_order FROM hierarchy
   UNION ALL
   SELECT DISTINCT fk_parent_component_id, fk_child_component_id, 'trace', NULL FROM trace t
   WHERE NOT EXISTS (SELECT 1 FROM hierarchy h WHERE h.parent_id = t.fk_parent_component_id AND h.child_id = t.fk_child_component_id)
 ),
-edges AS (
+edges AS MATERIALIZED (
   SELECT parent_id, child_id, kind, row_number() OVER (PARTITION BY parent_id ORDER BY kind, call_order NULLS LAST, order_seq NULLS LAST, child_id) AS ordinal
   FROM linked JOIN components c ON c.id = child_id AND (c.is_noise = false OR c.is_noise IS NULL)
 )
@@ -46,13 +45,13 @@ def _first_visits(max_depth: int) -> str:
     for d in range(1, max_depth + 1):
         if d > 1:
             ctes.append(
-                f"""arrive_{d} AS (SELECT k.root_id, list_append(k.path, e.ordinal) AS path, {d} AS depth, e.child_id AS component_id, e.parent_id, e.kind
+                f"""arrive_{d} AS MATERIALIZED (SELECT k.root_id, list_append(k.path, e.ordinal) AS path, {d} AS depth, e.child_id AS component_id, e.parent_id, e.kind
                 FROM kept_{d - 1} k JOIN edges e ON e.parent_id = k.component_id WHERE NOT k.is_cycle)"""
             )
         seen = " UNION ALL ".join(f"SELECT root_id, component_id FROM kept_{i} WHERE NOT is_cycle" for i in range(1, d))
         old = f"(a.root_id, a.component_id) IN (SELECT (root_id, component_id) FROM ({seen}))" if seen else "false"
         ctes.append(
-            f"""kept_{d} AS (SELECT * FROM (SELECT a.*, ({old}) OR row_number() OVER (PARTITION BY root_id, component_id ORDER BY path) > 1 AS is_cycle FROM arrive_{d} a)
+            f"""kept_{d} AS MATERIALIZED (SELECT * FROM (SELECT a.*, ({old}) OR row_number() OVER (PARTITION BY root_id, component_id ORDER BY path) > 1 AS is_cycle FROM arrive_{d} a)
             WHERE kind <> 'trace' OR NOT is_cycle)"""
         )
     ctes.append("tree AS (" + " UNION ALL ".join(f"SELECT * FROM kept_{d}" for d in range(1, max_depth + 1)) + ")")
@@ -119,26 +118,26 @@ def depth_limit(spark, sf):
 _SHARED = _ctes(components=b.COMPONENTS, trace=b.TRACE, hierarchy=b.HIERARCHY, hits=_REGION_HITS)
 
 
-@query("g4_shared_children", f"WITH {_SHARED}, {_EDGES}, {_LEVEL_ONE}, {_first_visits(4)} {_SHOW}")
+@query("g4_shared_children", f"WITH {_SHARED}, {_EDGES}, {_LEVEL_ONE}, {_first_visits(DEPTH)} {_SHOW}")
 def shared_children(spark, sf):
-    return _shown(graph.lineage_tree(graph.first_level(bind(spark, sf, _REGION_HITS)), _main_edges(spark, sf), 4))
+    return _shown(graph.lineage_tree(graph.first_level(bind(spark, sf, _REGION_HITS)), _main_edges(spark, sf)))
 
 
 _PART_HITS = "SELECT CAST(p_partkey AS STRING) AS root_id, CAST(p_partkey AS STRING) AS component_id, p_name AS component_name, 'FUNCTION' AS component_type, p_size AS order_seq FROM {part}"
 _PARTS = _ctes(components=b.PART_COMPONENTS, trace=b.PART_TRACE, hierarchy=b.PART_CALLS, hits=_PART_HITS)
 
 
-def _part_tree(spark, sf, mode):
+def _part_tree(spark, sf, mode, max_depth=DEPTH):
     edges = graph.child_edges(bind(spark, sf, b.PART_CALLS), bind(spark, sf, b.PART_TRACE), bind(spark, sf, b.PART_COMPONENTS))
-    return graph.lineage_tree(graph.first_level(bind(spark, sf, _PART_HITS)), edges, 4, mode)
+    return graph.lineage_tree(graph.first_level(bind(spark, sf, _PART_HITS)), edges, max_depth, mode)
 
 
 @query("g4_cycles_on_paths", f"WITH RECURSIVE {_PARTS}, {_EDGES}, {_LEVEL_ONE}, {_all_paths(4)} {_SHOW}")
 def cycles_on_paths(spark, sf):
-    return _shown(_part_tree(spark, sf, "all_paths"))
+    return _shown(_part_tree(spark, sf, "all_paths", 4))
 
 
-@query("g4_first_visits", f"WITH {_PARTS}, {_EDGES}, {_LEVEL_ONE}, {_first_visits(4)} {_SHOW}")
+@query("g4_first_visits", f"WITH {_PARTS}, {_EDGES}, {_LEVEL_ONE}, {_first_visits(DEPTH)} {_SHOW}")
 def first_visits(spark, sf):
     return _shown(_part_tree(spark, sf, "first_visits"))
 
@@ -284,36 +283,67 @@ _OWN = "'{' || substr(" + " || ".join(
         _member("name", "name"), _member("displayName", "display_name"), _member("type", "type"), _member("color", "color"),
         _member("id", "id", False), _member("component_Id", "component_id"), _member("parentCompId", "parent_comp_id", False),
         _member("componentType", "component_type"), _member("isNoise", "is_noise", False), _member("orderSeq", "order_seq", False),
+        _member("childNoiseCount", "0", False), _member("childNoNoiseCount", "0", False),
         _member("componentDesc", "component_desc"),
     ]
 ) + ", 2)"
 
 
-def _nested(max_depth: int) -> str:
-    ctes = [f"own AS (SELECT root_id, path, depth, {_OWN} AS own FROM nodes)"]
-    for d in range(max_depth, -1, -1):
-        if d == max_depth:
-            below = "SELECT NULL AS root_id, CAST(NULL AS BIGINT[]) AS path, NULL AS children WHERE false"
-        else:
-            below = f"""SELECT root_id, path[1:len(path) - 1] AS path, string_agg(json, ',' ORDER BY path[len(path)], json) AS children FROM json_{d + 1} GROUP BY ALL"""
-        ctes.append(
-            f"""json_{d} AS (SELECT o.root_id, o.path, own || ',"children":[' || coalesce(children, '') || ']}}' AS json
-            FROM own o LEFT JOIN ({below}) b ON b.root_id = o.root_id AND b.path = o.path WHERE o.depth = {d})"""
-        )
-    return ", ".join(ctes)
+_COLUMN = "'{' || substr(" + " || ".join(
+    [_member("componentId", "component_id"), _member("name", "name"), _member("displayName", "name"), _member("color", "color")]
+) + ", 2) || '}'"
+
+_TYPED_ROOTS = """
+found AS (
+  SELECT DISTINCT root_id, c.id AS component_id, c.component_name AS name FROM roots r
+  JOIN components t ON t.project_id = r.project_id AND t.component_name = r.table_name AND t.component_type = 'TABLE'
+  JOIN components c ON c.parent_component_id = t.id AND c.component_type = 'COLUMN'
+),
+shown AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY name, component_id) AS position FROM found),
+colored AS (SELECT *, CASE WHEN position % 2 = 1 THEN '#b2f1ca' ELSE '#FFFFFF' END AS color FROM shown)
+"""
+
+_PIECES = f"""
+whole AS (
+  SELECT root_id, path, depth, name, display_name, type, color, id, component_id, parent_comp_id, component_type, is_noise, order_seq, component_desc FROM nodes
+  UNION ALL
+  SELECT n.root_id, list_append(n.path, p.place + {graph.AFTER_COMPONENTS}), n.depth + 1, p.target_table,
+    CASE WHEN length(p.target_table) > 40 THEN left(p.target_table, 40) || '...' ELSE p.target_table END, 'TABLE', '{graph.NODE_COLORS["TABLE"]}', 0, NULL, NULL,
+    'TABLE', false, NULL, 'ETL: ' || coalesce(nullif(p.flow_type, ''), 'TRANSFORM')
+  FROM nodes n JOIN placed p ON p.root_id = n.root_id AND p.name = n.name WHERE n.type = 'PROCEDURE'
+),
+pieces AS (
+  SELECT root_id, path AS place, 0 AS part, 0 AS position,
+    CASE WHEN depth > 0 AND row_number() OVER (PARTITION BY root_id, path[1:len(path) - 1], depth ORDER BY path) > 1 THEN ',' ELSE '' END
+      || {_OWN} || ',"typeInformations":[' || CASE WHEN depth > 0 THEN '],"children":[' ELSE '' END AS text FROM whole
+  UNION ALL SELECT root_id, list_append(path, {export.AFTER_ALL}), 3, 0, ']}}' FROM whole
+  UNION ALL SELECT root_id, path, 2, 0, '],"children":[' FROM whole WHERE depth = 0
+  UNION ALL SELECT root_id, CAST([] AS BIGINT[]), 1, position, CASE WHEN position > 1 THEN ',' ELSE '' END || {_COLUMN} FROM colored
+)
+"""
 
 
-@query("g8_s11_nested_json", f"WITH {_LINEAGE}, {_nested(DEPTH)} SELECT root_id, json FROM json_0")
+@query(
+    "g8_s11_nested_json",
+    f"""WITH {_LINEAGE}, {_flows('procedure_name', 'procedure_name IS NOT NULL')}, {_TYPED_ROOTS}, {_PIECES}
+    SELECT * REPLACE (array_to_string(place, '.') AS place) FROM pieces""",
+)
 def nested_json(spark, sf):
-    return export.nested_json(_lineage(spark, sf), DEPTH)
+    """The pieces of each root's document, ETL nodes and root columns included."""
+    nodes = graph.with_flows(_lineage(spark, sf), bind(spark, sf, b.TABLE_ROOTS), bind(spark, sf, b.FLOWS))
+    columns = reports.root_columns(
+        bind(spark, sf, b.TABLE_ROOTS), bind(spark, sf, b.COMPONENTS), bind(spark, sf, b.NATION_SCHEMAS), bind(spark, sf, b.NATION_COLUMNS)
+    )
+    pieces = export.json_fragments(nodes, columns)
+    return pieces.withColumn("place", F.array_join(F.col("place").cast("array<string>"), "."))
 
 
 @query(
     "g8_s11_json_rows",
-    f"WITH {_LINEAGE} SELECT root_id, array_to_string(path, '.') AS path, depth, {_OWN} || '}}' AS json FROM nodes WHERE root_id IN (SELECT root_id FROM nodes GROUP BY root_id HAVING count(*) > 20)",
+    f"WITH {_LINEAGE} SELECT root_id, array_to_string(path, '.') AS path, depth, {_OWN} || '}}' AS json FROM nodes",
 )
 def json_rows(spark, sf):
-    return _shown(export.json_rows(_lineage(spark, sf), larger_than=20))
+    return _shown(export.json_rows(_lineage(spark, sf)))
 
 
 @query(
