@@ -510,3 +510,14 @@ def test_check_text(spark, name):
     order = sorted(names)
     want = sorted(tuple(str(dict(zip(names, row))[n]) for n in order) for row in result.fetchall())
     assert sorted(tuple(str(r[n]) for n in order) for r in got.collect()) == want
+
+
+def test_windows_are_counted_the_same_in_any_chunks(monkeypatch):
+    texts = [b"one two  three", b"", b"two three two", b" ", b"one", b"x" * 500] * 7
+    whole = collections.Counter(ppm.windows(texts)[0].tolist())
+    for chunk in (1, 50, 1 << 19):
+        monkeypatch.setattr(ppm, "CHUNK", chunk)
+        keys, counts = ppm._distinct(texts)
+        assert dict(zip(keys.tolist(), counts.tolist())) == whole
+        assert (np.diff(keys) > 0).all()
+    assert [len(part) for part in ppm._distinct([])] == [0, 0]

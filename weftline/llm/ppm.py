@@ -32,7 +32,7 @@ from weftline.session import cut
 ORDER = 5
 #: Bytes of text in a block on average, and bytes and texts of it that are worked on at a time.
 BLOCK = 16 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 CHUNK_TEXTS = 1 << 15
 #: Windows whose probabilities are worked out together, on average.
 GROUP = 200_000
@@ -51,11 +51,14 @@ def windows(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndar
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + order + 1
     found = np.zeros(max(0, len(held) - order), np.int64)
     for at in range(order + 1):
-        found = (found << 8) | held[at : at + len(found)]
+        found <<= 8
+        found |= held[at : at + len(found)]
     # windows that reach over the end of a text are none
-    offset = np.arange(len(held)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inside = (offset < np.repeat(lengths - order, lengths))[: len(found)]
-    return found[inside], np.repeat(np.arange(len(texts)), lengths)[: len(found)][inside]
+    inside = np.ones(len(held), bool)
+    ends = np.cumsum(lengths)
+    for back in range(1, order + 1):
+        inside[ends - back] = False
+    return found[inside[: len(found)]], np.repeat(np.arange(len(texts)), lengths - order)
 
 
 def _chunks(texts: list[bytes]):
@@ -70,13 +73,31 @@ def _chunks(texts: list[bytes]):
         yield start, len(texts)
 
 
+def _added(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sets of distinct windows with counts as one."""
+    keys = np.concatenate([one[0], other[0]])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([one[1], other[1]])[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
 def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of the texts and their counts."""
-    parts = [np.unique(windows(texts[a:b])[0], return_counts=True) for a, b in _chunks(texts)]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    """Distinct windows of the texts and their counts.
+
+    Sets of like size are added up as they come, so memory follows the distinct
+    windows and not the windows of all chunks.
+    """
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in _chunks(texts):
+        parts.append(np.unique(windows(texts[a:b])[0], return_counts=True))
+        while len(parts) > 1 and 2 * len(parts[-1][0]) >= len(parts[-2][0]):
+            last = parts.pop()
+            parts.append(_added(parts.pop(), last))
+    while len(parts) > 1:
+        last = parts.pop()
+        parts.append(_added(parts.pop(), last))
+    return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 PARTS = pa.schema([("block", pa.int32()), ("window", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
@@ -190,11 +211,13 @@ def _scorer(total: int, distinct: int, ends: int):
         pa.set_memory_pool(pa.system_memory_pool())
         texts = block["text"].to_pylist()
         held = block["held_out"].to_pylist()
-        coded = known.filter(known["window"].is_valid())
-        keys, logp = coded["window"].to_numpy(), coded["value"].to_numpy()
+        # column by column, so that no second copy of all rows is held
+        is_window = known["window"].is_valid()
+        keys = known["window"].filter(is_window).to_numpy()
         order = np.argsort(keys)
-        keys, logp = keys[order], logp[order]
-        del coded, order
+        keys = keys[order]
+        logp = known["value"].filter(is_window).to_numpy()[order]
+        del is_window, order
         # words that no other block has are counted here
         counts: Counter = Counter()
         for text, out in zip(texts, held):
