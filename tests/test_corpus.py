@@ -54,6 +54,30 @@ def test_archives(spark, tmp_path):
     assert len({r.id for r in rows}) == 4
 
 
+def test_what_cannot_be_read_is_named_and_the_rest_is_kept(spark, tmp_path):
+    def packed(name, **entries):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for entry, text in entries.items():
+                z.writestr(f"{entry}.py", text)
+        return (tmp_path / name).read_bytes()
+
+    packed("good.zip", a="x = 1\n")
+    (tmp_path / "cut.zip").write_bytes(packed("cut.zip", a="x = 1\n" * 99)[:50])
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    damaged = packed("half.zip", bad="first text", fine="second text")
+    (tmp_path / "half.zip").write_bytes(damaged.replace(b"first text", b"first_text", 1))
+    files = corpus.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.project_id, r.file_path, r.content) for r in files) == [
+        ("good", "a.py", "x = 1\n"), ("half", "fine.py", "second text"),
+    ]
+    failed = corpus.failed_uploads(corpus.archive_entries(spark, str(tmp_path))).collect()
+    assert sorted((r.project_id, r.file_path or "", r.error.split(":")[0]) for r in failed) == [
+        ("cut", "", "BadZipFile"), ("half", "bad.py", "BadZipFile"), ("none", "", "BadZipFile"),
+    ]
+    missing = spark.createDataFrame([("p", None)], "project_id string, archive binary")
+    assert [(r.project_id, r.content) for r in corpus.unpack(missing).collect()] == [("p", None)]
+
+
 def test_large_entries_come_out_whole(spark, tmp_path, monkeypatch):
     text = "select a from b;\n" * 700_000  # beyond one output batch
     with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:

@@ -142,7 +142,7 @@ table_words AS (
 """
 
 TOKENS = """
-words AS (SELECT DISTINCT file_id, line_number, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS token FROM code_lines),
+words AS MATERIALIZED (SELECT DISTINCT file_id, line_number, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS token FROM code_lines),
 chains AS (
   SELECT file_id, line_number, string_split(unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+(?:[.][a-z0-9_]+)+')), '.') AS parts FROM code_lines
 ),
@@ -168,7 +168,7 @@ accepted AS (
 """
 
 MAPPED = """
-mapped AS (
+mapped AS MATERIALIZED (
   SELECT DISTINCT l.project_id, l.file_id, l.line_number, c.column_id
   FROM words t JOIN code_lines l ON l.file_id = t.file_id AND l.line_number = t.line_number
   JOIN field_map m ON m.file_id = t.file_id AND m.field = t.token
@@ -177,7 +177,7 @@ mapped AS (
 """
 
 TYPED = f"""
-typed_lines AS (
+typed_lines AS MATERIALIZED (
   SELECT project_id, file_id, line_number, context, snippet, {BY_MAPPER} AS by_mapper, {BY_LINE} AS by_line, {BY_CONTEXT} AS by_context FROM code_lines
 )
 """

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.operators import lines, orm, usage
@@ -44,6 +49,35 @@ def _with(*parts: str, select: str) -> str:
     return "WITH " + ", ".join(parts) + " " + select
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for project, path, text in zip(batch["project_id"], batch["file_path"], batch["text"]):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr(path, text)
+                archive.writestr(f"node_modules/{path}", project)
+                archive.writestr("notes.md", project)
+            yield pd.DataFrame({"project_id": [project], "archive": [held.getvalue()]})
+
+
+@query(
+    "s1_unpacked_files",
+    """SELECT md5(concat_ws(chr(10), project_id, file_path)) AS id, project_id, file_path, language, md5(text) AS content, false AS parsed FROM (
+      SELECT 'd' || doc_id AS project_id, 'src/' || doc_id || ['.py', '.sql', '.TSX'][1 + doc_id % 3] AS file_path,
+             ['python', 'sql', 'typescript'][1 + doc_id % 3] AS language, coalesce(text, '') AS text FROM documents)""",
+)
+def unpacked_files(spark, sf):
+    """Every document packed into an archive of its own, beside two entries that are no code, and unpacked."""
+    ending = F.element_at(F.array(F.lit(".py"), F.lit(".sql"), F.lit(".TSX")), (1 + F.col("doc_id") % 3).cast("int"))
+    packed = b.load(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("project_id"),
+        F.concat(F.lit("src/"), F.col("doc_id").cast("string"), ending).alias("file_path"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    archives = packed.mapInPandas(_pack, "project_id string, archive binary")
+    return corpus.unpacked_files(corpus.unpack(archives)).withColumn("content", F.md5("content"))
+
+
 @query(
     "s2_code_files",
     _with(f"corpus AS ({b.plain(b.CORPUS)})", select=f"SELECT id, project_id, file_path, md5(content) AS content FROM corpus WHERE {o.IS_CODE}"),

@@ -6,8 +6,10 @@ Columns: ``id, project_id, file_path, language, content, parsed``.
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,40 +106,90 @@ def _source_files(entries: DataFrame) -> DataFrame:
     )
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ENTRIES = "project_id string, file_path string, content string, error string"
+_ENTRY_COLUMNS = [column.split()[0] for column in ENTRIES.split(", ")]
+
+
+def _said(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+def _code_entries(project: str, blob: bytes) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+    """Rows of ``ENTRIES`` for one archive: its code files, and what could not be read."""
     code, excluded = re.compile(_CODE.replace(r"\z", r"\Z")), re.compile(_EXCLUDED)
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(blob))
+    except (zipfile.BadZipFile, ValueError, OSError) as error:
+        yield project, None, None, _said(error)
+        return
+    with archive:
+        for name, info in archive.NameToInfo.items():
+            low = name.lower()
+            if info.is_dir() or not code.search(low) or excluded.search(low):
+                continue
+            try:
+                text = archive.read(info).decode("utf-8", errors="replace")
+            # damaged, cut off, encrypted or packed in a way that is not known
+            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError) as error:
+                yield project, name, None, _said(error)
+            else:
+                yield project, name, text, None
+
+
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for project, blob in zip(batch["project_id"], batch["archive"]):
-            rows: list[tuple[str, str, str]] = []
+            rows: list[tuple[str, str | None, str | None, str | None]] = []
             held = 0
-            with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                for name, info in archive.NameToInfo.items():
-                    low = name.lower()
-                    if info.is_dir() or not code.search(low) or excluded.search(low):
-                        continue
-                    text = archive.read(info).decode("utf-8", errors="replace")
-                    rows.append((project, name, text))
-                    held += len(text)
-                    if held >= ENTRY_BATCH_CHARS:
-                        yield pd.DataFrame(rows, columns=["project_id", "file_path", "content"])
-                        rows, held = [], 0
+            for row in _code_entries(project, blob if blob is not None else b""):
+                rows.append(row)
+                held += len(row[2] or "")
+                if held >= ENTRY_BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=_ENTRY_COLUMNS, dtype=object)
+                    rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["project_id", "file_path", "content"])
+                yield pd.DataFrame(rows, columns=_ENTRY_COLUMNS, dtype=object)
 
 
-def read_archives(spark: SparkSession, path: str, project: Column | None = None) -> DataFrame:
-    """Zip archives → source files; the project is the archive's base name unless given.
+def unpack(archives: DataFrame) -> DataFrame:
+    """``(project_id, archive)`` with zip bytes → code entries ``(project_id, file_path, content, error)``.
 
-    One archive is one task, so unpacked files are spread out again before the
-    text-heavy stages that follow.
+    An entry that cannot be read has its error and no content; an archive that
+    cannot be opened is one row with neither path nor content. Other archives
+    and entries are not affected. A null archive is an unreadable one.
+    """
+    return archives.select("project_id", "archive").mapInPandas(_unpack, ENTRIES)
+
+
+def unpacked_files(entries: DataFrame) -> DataFrame:
+    """Source files of the entries that could be read."""
+    return _source_files(entries.where("error is null").drop("error"))
+
+
+def failed_uploads(entries: DataFrame) -> DataFrame:
+    """``project_id, file_path, error`` for what could not be read; the path is null for a whole archive."""
+    return entries.where("error is not null").select("project_id", "file_path", "error")
+
+
+def archive_entries(spark: SparkSession, path: str, project: Column | None = None) -> DataFrame:
+    """Entries of the zip archives at ``path``; the project is the archive's base name unless given.
+
+    Spark's reader passes over files of no bytes, so these have no row here.
     """
     if project is None:
         project = F.regexp_extract(F.col("path"), r"([^/]+?)(?:[.][zZ][iI][pP])?\z", 1)
     archives = spark.read.format("binaryFile").load(path)
-    entries = archives.select(project.alias("project_id"), F.col("content").alias("archive")).mapInPandas(
-        _unpack, "project_id string, file_path string, content string"
-    )
-    return _source_files(entries).repartition(F.col("id"))
+    return unpack(archives.select(project.alias("project_id"), F.col("content").alias("archive")))
+
+
+def read_archives(spark: SparkSession, path: str, project: Column | None = None) -> DataFrame:
+    """Zip archives → source files.
+
+    One archive is one task, so unpacked files are spread out again before the
+    text-heavy stages that follow. What could not be read is left out here;
+    ``failed_uploads(archive_entries(...))`` names it.
+    """
+    return unpacked_files(archive_entries(spark, path, project)).repartition(F.col("id"))
 
 
 def read_tree(spark: SparkSession, path: str, project_id: str) -> DataFrame:
