@@ -2,7 +2,7 @@ import zipfile
 
 from weftline.operators import impact, reports
 from weftline.plans.build import build
-from weftline.sources.corpus import read_archives
+from weftline.sources.corpus import archive_entries, failed_uploads, read_archives, unpacked_files
 
 
 def test_from_archive_to_report(spark, tmp_path):
@@ -21,8 +21,21 @@ def test_from_archive_to_report(spark, tmp_path):
     }
     assert {r.job_type: r.total for r in out["processing_jobs"].collect()} == {"file_scan": 3, "schema_parse": 1, "lineage_trace": 4}
     assert {r.file_path: r.parsed for r in out["source_files"].collect()} == {"db/schema.sql": True, "src/app.py": True, "src/empty.py": False}
+    stored = spark.read.parquet(str(tmp_path / "out" / "source_files"))
+    assert {r.file_path for r in stored.where("parsed").collect()} == {"db/schema.sql", "src/app.py"}
     assert [(r.tables, r.columns, r.files) for r in impact.graph_stats(detail).collect()] == [(1, 2, 2)]
     summary = reports.column_summary(detail, page_rows=1)
     assert [(r.column_name, r.page, len(r.files), r.total_usages) for r in summary.orderBy("column_name", "page").collect()] == [
         ("mail", 0, 1, 2), ("mail", 1, 1, 2), ("user_id", 0, 1, 2), ("user_id", 1, 1, 2),
     ]
+
+
+def test_a_failed_upload_is_a_failed_job(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        z.writestr("a.sql", "CREATE TABLE users (\n  mail TEXT\n);\n")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    entries = archive_entries(spark, str(tmp_path / "*.zip"))
+    out = build(spark, unpacked_files(entries), str(tmp_path / "out"), failures=failed_uploads(entries))
+    jobs = {(r.project_id, r.job_type): (r.status, r.total) for r in out["processing_jobs"].collect()}
+    assert jobs["good", "file_scan"] == ("completed", 1)
+    assert jobs["bad", "file_scan"] == ("failed", 0)

@@ -16,6 +16,19 @@ def test_samples(spark, tmp_path):
     assert [r.error for r in rows if r.table_name == "gone"] == ["Error: PATH_NOT_FOUND"]
 
 
+def test_a_damaged_table_is_an_error_row_of_its_own(spark, tmp_path):
+    for name in ("good", "bad"):
+        spark.range(5).coalesce(1).write.parquet(str(tmp_path / name))
+    schema = spark.read.parquet(str(tmp_path / "bad")).schema
+    file = next((tmp_path / "bad").glob("*.parquet"))
+    file.write_bytes(file.read_bytes()[:-20])
+    tables = {"bad": lambda: spark.read.schema(schema).parquet(str(tmp_path / "bad")), "good": lambda: spark.read.parquet(str(tmp_path / "good"))}
+    rows = inventory.sample_tables(spark, tables, rows=2, order_by={"good": ["id"]}).collect()
+    assert [(r.row_no, r.row) for r in rows if r.table_name == "good"] == [(1, '{"id":"0"}'), (2, '{"id":"1"}')]
+    (bad,) = [r for r in rows if r.table_name == "bad"]
+    assert bad.row is None and bad.error.startswith("Error: ")
+
+
 def test_inventory_sizes(spark, tmp_path):
     path = tmp_path / "t"
     spark.range(10_000).repartition(3).write.parquet(str(path))
@@ -102,6 +115,21 @@ def test_accounting_counts_empty_stages(spark):
     assert rows == {(p, j): n if j == "file_scan" else 0 for p, n in (("p", 2), ("q", 1)) for j in ("file_scan", "schema_parse", "lineage_trace")}
 
 
+def test_accounting_of_failed_stages_and_descriptions(spark):
+    files = spark.createDataFrame([("f", "p")], "id string, project_id string")
+    failures = spark.createDataFrame(
+        [("p", "lineage_trace", "late"), ("p", "lineage_trace", "early"), ("x", "file_scan", None)], "project_id string, job_type string, error string"
+    )
+    described = spark.createDataFrame([("p", "says"), ("p", None), ("p", "more")], "project_id string, ai_description string")
+    rows = usage.trace_accounting(files, files.limit(0), files.limit(0), failures, described).collect()
+    assert len(rows) == 8
+    told = {(r.project_id, r.job_type): (r.status, r.progress, r.total, r.error) for r in rows}
+    assert told["p", "file_scan"] == ("completed", 1, 1, None)
+    assert told["p", "lineage_trace"] == ("failed", 0, 0, "early")
+    assert told["p", "ai_describe"] == ("completed", 2, 3, None)
+    assert told["x", "file_scan"] == ("failed", 0, 0, "")
+
+
 def test_context_of_an_unused_column(spark):
     columns = spark.createDataFrame([("c", "s", "id", "INT", True, True, None, None)], "id string, schema_id string, column_name string, data_type string, is_primary_key boolean, is_foreign_key boolean, foreign_table string, foreign_column string")
     schemas = spark.createDataFrame([("s", "p", "users")], "id string, project_id string, table_name string")

@@ -217,7 +217,7 @@ def mapped_matches(spark, sf):
         , stages AS (SELECT project_id, 'file_scan' AS job_type, count(*) AS n FROM source_files GROUP BY ALL
           UNION ALL SELECT project_id, 'schema_parse', count(*) FROM db_schemas GROUP BY ALL
           UNION ALL SELECT project_id, 'lineage_trace', count(*) FROM usages GROUP BY ALL)
-        SELECT p.project_id, j.job_type, 'completed' AS status, coalesce(n, 0) AS progress, coalesce(n, 0) AS total
+        SELECT p.project_id, j.job_type, 'completed' AS status, coalesce(n, 0) AS progress, coalesce(n, 0) AS total, CAST(NULL AS VARCHAR) AS error
         FROM (SELECT DISTINCT project_id FROM stages) p CROSS JOIN (VALUES ('file_scan'), ('schema_parse'), ('lineage_trace')) j(job_type)
         LEFT JOIN stages s ON s.project_id = p.project_id AND s.job_type = j.job_type""",
     ),

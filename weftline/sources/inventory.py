@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from weftline.operators.ranking import PAGE_ROWS, nested_pages
+from weftline.session import cut
 
 SAMPLE_ROWS = 10
 SAMPLE = "table_name string, row_no int, row string, error string"
@@ -48,14 +50,20 @@ def sample_tables(
 ) -> DataFrame:
     """First rows of each table as text; a table that cannot be read becomes an error row.
 
-    Without ``order_by`` the rows are whichever come first.
+    Each sample is written before the next one is tried, since a damaged file
+    shows only when it is read. Without ``order_by`` the rows are whichever come
+    first.
     """
     samples = None
     for name, read in tables.items():
         try:
-            one = table_sample(name, read(), rows, (order_by or {}).get(name))
+            one = cut(table_sample(name, read(), rows, (order_by or {}).get(name)))
         except PySparkException as error:
             one = spark.createDataFrame([(name, None, None, f"Error: {error.getCondition() or error}")], SAMPLE)
+        except Py4JJavaError as error:
+            # a job that failed for a reason without a condition of Spark's own
+            said = str(error.java_exception).splitlines()[0]
+            one = spark.createDataFrame([(name, None, None, f"Error: {said}")], SAMPLE)
         samples = one if samples is None else samples.unionByName(one)
     return samples if samples is not None else spark.createDataFrame([], SAMPLE)
 
