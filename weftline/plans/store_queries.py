@@ -12,6 +12,7 @@ from weftline.plans.registry import query
 from weftline.plans.report_queries import text
 from weftline.sources import inventory
 
+# All tables but embeddings: Spark and DuckDB write single-precision numbers in different digits.
 _SAMPLED = {
     "region": ["r_regionkey"],
     "nation": ["n_nationkey"],
@@ -19,6 +20,13 @@ _SAMPLED = {
     "orders": ["o_orderkey"],
     "events": ["event_id"],
     "pages": ["page_id"],
+    "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+    "documents": ["doc_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
 }
 _CELLS = {
     "region": ["r_regionkey", "r_name"],
@@ -27,6 +35,16 @@ _CELLS = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate:ts", "o_orderpriority"],
     "events": ["event_id", "ts:ts", "user_id", "event_type", "value", "props"],
     "pages": ["page_id", "url", "html"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate:ts",
+    ],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
 }
 
 
@@ -37,7 +55,7 @@ def _cell(column: str) -> str:
 
 
 _SAMPLES = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{t}' AS table_name, CAST(row_number() OVER (ORDER BY {_SAMPLED[t][0]}) AS INT) AS row_no, "
+    f"SELECT * FROM (SELECT '{t}' AS table_name, CAST(row_number() OVER (ORDER BY {', '.join(_SAMPLED[t])}) AS INT) AS row_no, "
     f"CAST(to_json({{{', '.join(_cell(c) for c in cells)}}}) AS VARCHAR) AS row, CAST(NULL AS VARCHAR) AS error FROM {t}) WHERE row_no <= 10"
     for t, cells in _CELLS.items()
 )
