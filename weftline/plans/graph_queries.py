@@ -8,6 +8,8 @@ from weftline.operators import export, graph, reports
 from weftline.plans import bindings as b
 from weftline.plans.bindings import bind, plain
 from weftline.plans.registry import query
+from weftline.plans.report_queries import DETAIL, _OF_COLUMNS, _OF_TABLES, _usage_roots, detail
+from weftline.session import cut
 
 DEPTH = graph.MAX_DEPTH
 
@@ -198,6 +200,67 @@ def table_lineage(spark, sf):
     return _shown(_lineage(spark, sf))
 
 
+# Roots with components, and roots of the catalog that only files use: these stand in at level one.
+_KNOWN = """
+known AS (
+  SELECT id, component_name, component_type, component_desc, parent_component_id, is_noise, order_seq FROM components
+  UNION ALL SELECT DISTINCT component_id, component_name, 'FILE', NULL, NULL, false, NULL FROM hits WHERE component_type = 'FILE'
+)
+"""
+
+
+def _with_files(roots: str, found: str, keys: list[str]) -> str:
+    """Nodes of trees whose roots are CTE ``roots``; ``found`` names the CTE of components at level one."""
+    same = " AND ".join(f"r.{key} = d.{key}" for key in keys)
+    hits = f"""
+    hits AS (
+      SELECT * FROM {found}
+      UNION ALL SELECT DISTINCT root_id, file_id, file_path, 'FILE', NULL FROM detail d JOIN {roots} r ON {same}
+      WHERE root_id NOT IN (SELECT root_id FROM {found})
+    )
+    """
+    nodes = _NODES.replace("JOIN components c", "JOIN known c").replace("FROM roots", f"FROM {roots}")
+    return f"{hits}, {_KNOWN}, {_EDGES}, {_LEVEL_ONE}, {_first_visits(DEPTH)}, {nodes} SELECT * REPLACE (array_to_string(path, '.') AS path) FROM nodes"
+
+
+def _tree_with_files(spark, sf, roots, rows, by_column):
+    components, trace = bind(spark, sf, b.COMPONENTS), bind(spark, sf, b.TRACE)
+    found = (reports.components_of_columns if by_column else reports.components_of_tables)(roots, components, trace)
+    files = reports.files_of_roots(roots, rows, by_column=by_column).drop("language")
+    hits = cut(reports.with_fallback(found, files))
+    tree = graph.lineage_tree(graph.first_level(hits), _main_edges(spark, sf), DEPTH)
+    return _shown(graph.decorate(tree, roots, graph.known_components(components, hits)))
+
+
+_FACTS = _ctes(components=b.COMPONENTS, trace=b.TRACE, hierarchy=b.HIERARCHY)
+
+
+@query(
+    "g1_column_lineage",
+    f"""{DETAIL}, {_FACTS}, asked AS ({plain(b.COLUMN_ROOTS)}),
+    column_roots AS (SELECT root_id, project_id, table_name, column_name FROM asked
+      UNION SELECT table_name || '.' || column_name, project_id, table_name, column_name FROM detail),
+    {_OF_COLUMNS}, {_with_files("column_roots", "of_columns", ["project_id", "table_name", "column_name"])}""",
+)
+def column_lineage(spark, sf):
+    rows = detail(spark, sf)
+    asked = bind(spark, sf, b.COLUMN_ROOTS).select("root_id", "project_id", "table_name", "column_name")
+    return _tree_with_files(spark, sf, asked.unionByName(_usage_roots(rows)).distinct(), rows, by_column=True)
+
+
+@query(
+    "g1_file_fallback_lineage",
+    f"""{DETAIL}, {_FACTS}, asked AS ({plain(b.TABLE_ROOTS)}),
+    table_roots AS (SELECT root_id, project_id, table_name FROM asked UNION SELECT table_name, project_id, table_name FROM detail),
+    {_OF_TABLES}, {_with_files("table_roots", "of_tables", ["project_id", "table_name"])}""",
+)
+def file_fallback_lineage(spark, sf):
+    rows = detail(spark, sf)
+    asked = bind(spark, sf, b.TABLE_ROOTS).select("root_id", "project_id", "table_name")
+    used = rows.select(F.col("table_name").alias("root_id"), "project_id", "table_name")
+    return _tree_with_files(spark, sf, asked.unionByName(used).distinct(), rows, by_column=False)
+
+
 # Every other table root asks for one column and so gets no type information.
 _MODES = "SELECT root_id, project_id, table_name, CASE WHEN length(root_id) % 2 = 0 THEN 'col_1' END AS column_name FROM roots"
 
