@@ -1,9 +1,11 @@
 """The pipeline's stages one by one on the smallest tables."""
 
+import itertools
+import random
 import re
 
 import corpus_pipeline
-from weftline.llm import mixing, wu_manber
+from weftline.llm import mixing, near_copies, wu_manber
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,49 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
     assert "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def shingles(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_kept(docs):
+    """The least id of each class of five-word similarity 0.8 or more, all pairs compared, and the non-identical pairs."""
+    sets = {i: shingles(t) for i, t in docs}
+    least, pairs = {i: i for i in sets}, 0
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)):
+            both = len(x & y)
+            if x == y or both >= 0.8 * (len(x) + len(y) - both):
+                pairs += x != y
+                one, other = sorted((root(a), root(b)))
+                least[other] = one
+    return {root(i) for i in sets}, pairs
+
+
+def test_near_copies_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept, pairs = brute_kept([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    got = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "/root/testdata/sf0.01")
+    assert pairs and {r["doc_id"] for r in got.select("doc_id").collect()} == kept
+
+
+def test_near_copies_of_one_crowded_group(spark):
+    """Sixty copies of one text with a few words changed, and forty that share half of another: far over a bucket's bound."""
+    rng = random.Random(5)
+    base, half = [[f"{c}{i}" for i in range(200)] for c in "ab"]
+    texts = [[f"x{k}" if rng.random() < 0.01 else w for w in base] for k in range(60)]
+    texts += [half[:120] + [f"y{k}z{i}" for i in range(80)] for k in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "two words"), (903, "Two  words")]
+    kept, pairs = brute_kept(rows)
+    for bucket in (2, 16):
+        got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bucket)
+        assert pairs > 60 and {r["doc_id"] for r in got.collect()} == kept

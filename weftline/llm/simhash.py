@@ -19,7 +19,7 @@ not with the square of a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -119,18 +119,18 @@ def links(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return listed.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
 
 
-def classes(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``fp, component_id, keep_fp`` for each fingerprint of ``rows (doc_id, fp)``.
+def classes(rows: DataFrame, bucket: int = BUCKET, linked: Callable[[DataFrame, int], DataFrame] = links) -> DataFrame:
+    """``fp, component_id, keep_fp`` for each fingerprint of ``rows (doc_id, fp)``; ``linked`` gives the edges.
 
     ``component_id`` is the least doc_id of the class (null ids only count where
     there is no other), ``keep_fp`` the fingerprint of that document.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     nodes = cut(rows.groupBy("fp").agg(F.min(order).alias("least")))
-    roots = components(links(nodes.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
+    roots = components(linked(nodes.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
     # only linked fingerprints are brought together; a lone one is its own class
-    linked = nodes.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("least"))
+    together = nodes.join(roots, "fp")
+    least = together.groupBy("root").agg(F.min("least").alias("least"))
     joined = roots.join(least, "root").select("fp", F.col("least").alias("of_class"))
     best = F.coalesce("of_class", "least")
     return nodes.join(joined, "fp", "left").select(
@@ -148,14 +148,20 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.join(cut(classes(rows, bucket)), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def one_of_each(
+    docs: DataFrame,
+    bucket: int = BUCKET,
+    mark: Callable[[Column], Column] = fingerprint,
+    linked: Callable[[DataFrame, int], DataFrame] = links,
+) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the least doc_id stays.
 
     All columns of ``docs`` are returned as they are. Where several rows of a
-    class share the least doc_id (or have none), one of them stays.
+    class share the least doc_id (or have none), one of them stays. ``mark`` gives
+    a text's fingerprint and ``linked`` the edges between fingerprints.
     """
-    rows = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    kept = classes(rows, bucket).select(F.col("component_id").alias("doc_id"), F.col("keep_fp").alias("fp")).distinct()
+    rows = cut(docs.select("doc_id", mark(F.col("text")).alias("fp")))
+    kept = classes(rows, bucket, linked).select(F.col("component_id").alias("doc_id"), F.col("keep_fp").alias("fp")).distinct()
     repeated = cut(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
     kept = cut(kept)
     single = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
@@ -164,7 +170,7 @@ def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     # ids that stand for several rows: choose among them by fingerprint, then any one row
     fp, rn = fresh(docs, "fp"), fresh(docs, "rn")
     again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    again = again.withColumn(fp, fingerprint(F.col("text")))
+    again = again.withColumn(fp, mark(F.col("text")))
     meant = kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
     again = again.join(meant, again["doc_id"].eqNullSafe(meant["_id"]) & (again[fp] == meant["_fp"]), "left_semi")
     one = Window.partitionBy("doc_id", fp).orderBy("text")
