@@ -467,6 +467,35 @@ def test_op6_held_out_accuracy(spark, tmp_path):
     assert sum(clean) / len(clean) > 0.95 and sum(junk) / len(junk) > 0.7
 
 
+def test_resampling_rejects_repetitive_junk(spark):
+    """Of documents that mostly double words, what is labelled bad goes, and nearly all that nobody labelled."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r["doc_id"] for r in resampling.resample(spark, docs, labels).collect()}
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+
+    def repetitive(text):
+        tokens = resampling._TOKEN.findall((text or "").encode())
+        return sum(a == b for a, b in zip(tokens, tokens[1:])) > 0.6 * len(tokens) > 0
+
+    junk = {r["doc_id"] for r in docs.select("doc_id", "text").collect() if repetitive(r["text"])}
+    assert junk & bad and not junk & bad & kept
+    assert len(junk & kept) < 0.02 * len(junk)
+
+
+def test_resampling_reads_the_order_and_the_number_of_words(spark):
+    words = [f"w{i}" for i in range(50)]
+    texts = [(i, " ".join((words * 2)[i % 50 : i % 50 + 40])) for i in range(300)]
+    texts += [(300 + i, " ".join((words * 2)[i % 50 : i % 50 + 40][::-1])) for i in range(90)]
+    docs = frame(spark, [(i, t, "a") for i, t in texts])
+    judged = spark.createDataFrame([(i, int(i < 300), 0) for i, _ in texts if i % 3 == 0], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in resampling.resample(spark, docs, judged).collect()} == set(range(300))
+    once, often = (resampling.features(t.encode())[1] for t in ("a b", "a b a b a b"))
+    # a, b and "a b" three times, "b a" twice, and the class
+    three, two = (round(1024 * (1 + math.log(n))) for n in (3, 2))
+    assert once.tolist() == [1024] * 4 and sorted(often) == [1024, two, three, three, three]
+
+
 # --- 1: secrets ----------------------------------------------------------------------------
 
 

@@ -1,18 +1,21 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
-Two generative models of a document as a set of hashed n-grams are counted over
-all documents: one over everything (raw), one over the labelled good documents
-(target). A document's log importance weight adds the log ratios target : raw of
-its n-grams. Documents are then sampled by Gumbel top-k: a Gumbel variate drawn
+Two generative models of a document as a bag of hashed words and word pairs are
+counted over all documents: one over everything (raw), one over the labelled good
+documents (target). A document's log importance weight adds the log ratios
+target : raw of its n-grams. Documents are then sampled by Gumbel top-k: a Gumbel variate drawn
 from a hash of the row is added to the weight, and the k largest keys stay.
 
 What makes the ratio robust:
 
-* n-grams are words with their case, runs of other signs, and the share of
-  doubled words as a bigram class; each counts once per document, so that one
-  repetitive document cannot speak for a word.
-* Two hash tables; of an n-gram's two ratios the one nearer the target counts,
-  so that sharing a bucket with a bad word does not condemn a rare one.
+* n-grams are words with their case, runs of other signs, and pairs of
+  neighbours. Of one that stands c times in a document 1 + ln c count, so that
+  repetition tells but one repetitive document cannot speak for a word.
+* The share of doubled words is one of ``CLASSES`` with counters of their own,
+  outside the hash tables, and its ratio always counts: no word can mask it.
+* Two hash tables, each with buckets for words apart from those for pairs; of an
+  n-gram's two ratios the one nearer the target counts, so that sharing a bucket
+  with a bad word does not condemn a rare one.
 * ``PRIOR`` pseudo-documents pull rare buckets to ratio one, and ratios within a
   factor e of one are noise and say nothing. Else a long clean text would pay
   for, or hide behind, hundreds of small random terms.
@@ -21,7 +24,7 @@ What makes the ratio robust:
 
 Raw counts cover all documents. The target model and the cut are fitted on at
 most ``LABELLED`` labelled rows, those with the least hashes of their ids. Sent
-to every task are these ids and the ratios: 2 tables of ``BUCKETS`` floats.
+to every task are these ids and the ratios: 2 tables of ``2 * BUCKETS + CLASSES`` floats.
 """
 
 from __future__ import annotations
@@ -38,8 +41,12 @@ from pyspark.sql.types import DoubleType
 from weftline.llm.common import documents, fresh, table, text_bytes
 from weftline.llm.registry import query
 
-#: Buckets of each of the two tables, a power of two.
+#: Buckets for words, and as many for pairs, of each of the two tables, a power of two.
 BUCKETS = 1 << 18
+#: Classes of the share of doubled words.
+CLASSES = 8
+#: Damped counts are whole numbers of such parts, so that their sums do not depend on any order.
+PARTS = 1024
 PRIOR = 5.0
 #: At most so many labelled rows are used to fit the target model and the cut.
 LABELLED = 100_000
@@ -53,31 +60,43 @@ LOWEST = -2000.0
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_PAIR = 0xD6E8FEB86659FD93
 
 
-def features(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the distinct n-grams of a text, one row for each hash table."""
+def features(text: bytes, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the distinct n-grams of a text, one row for each hash table, and their damped counts.
+
+    Words come first, then pairs, the class of doubled words last.
+    """
     tokens = _TOKEN.findall(text)
     if not tokens:
-        return np.zeros((2, 0), np.int64)
+        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
     hashes = np.fromiter(map(zlib.crc32, tokens), np.uint64, len(tokens))
     doubled = np.count_nonzero(hashes[1:] == hashes[:-1]) / len(tokens)
-    # the classes lie beyond 32 bits, so no word has their hash
-    distinct = np.append(np.unique(hashes), np.uint64((1 << 33) + int(8 * doubled)))
+    words, of_words = np.unique(hashes, return_counts=True)
+    pairs, of_pairs = np.unique((hashes[:-1] << np.uint64(32)) | hashes[1:], return_counts=True)
+    # the high bits of a product depend on all of a pair only after its halves are mixed
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(_PAIR)
+    pairs ^= pairs >> np.uint64(32)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
-    return np.stack([(distinct * np.uint64(mix)) >> shift for mix in _MIX]).astype(np.int64)
+    at = [np.concatenate([(words * np.uint64(mix)) >> shift, ((pairs * np.uint64(mix)) >> shift) + np.uint64(buckets)]) for mix in _MIX]
+    at = np.pad(np.stack(at).astype(np.int64), ((0, 0), (0, 1)), constant_values=2 * buckets + int(CLASSES * doubled))
+    counts = np.concatenate([of_words, of_pairs, [1]])
+    return at, np.rint(PARTS * (1 + np.log(counts))).astype(np.int64)
 
 
 def _counter(buckets: int):
+    width = 2 * buckets + CLASSES
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((2, 2 * buckets), np.int64)
-        offset = np.array([[0], [buckets]])
+        held = np.zeros((2, 2 * width), np.int64)
         for batch in batches:
             for text, good in zip(batch["text"], batch["good"]):
-                at = (features(text, buckets) + offset).ravel()
-                held[0, at] += 1
-                if good:
-                    held[1, at] += 1
+                at, counts = features(text, buckets)
+                for row, offset in zip(at, (0, width)):
+                    np.add.at(held[0], row + offset, counts)
+                    if good:
+                        np.add.at(held[1], row + offset, counts)
         at = np.flatnonzero(held[0])
         yield pd.DataFrame({"bucket": at, "raw": held[0, at], "target": held[1, at]})
 
@@ -99,19 +118,19 @@ def labelled(labels: DataFrame, rows: int = LABELLED) -> DataFrame:
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratios target : raw per table and bucket, counted over all documents.
 
-    The result has ``2 * buckets`` numbers whatever the input; without any good
+    The result has ``2 * (2 * buckets + CLASSES)`` numbers whatever the input; without any good
     document all are 0. ``labels`` is what :func:`labelled` returns.
     """
     marked = docs.select("doc_id", text_bytes(F.col("text")).alias("text")).join(labels, "doc_id", "left")
     rows = marked.select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counted = rows.mapInPandas(_counter(buckets), "bucket long, raw long, target long")
-    counted = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counted = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     targets = docs.join(labels.where("good"), "doc_id", "left_semi").count()
     if not targets:
-        return np.zeros(2 * buckets, np.float32)
-    held = np.zeros((2, 2 * buckets))
-    held[0, counted["bucket"]] = counted["raw"]
-    held[1, counted["bucket"]] = counted["target"]
+        return np.zeros(2 * (2 * buckets + CLASSES), np.float32)
+    held = np.zeros((2, 2 * (2 * buckets + CLASSES)))
+    for row, name in zip(held, ("raw", "target")):
+        row[counted["bucket"].to_numpy()] = counted[name].to_numpy() / PARTS
     expected = held[0] * (targets / docs.count())
     return np.log((held[1] + PRIOR) / (expected + PRIOR)).astype(np.float32)
 
@@ -119,17 +138,19 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.nda
 def log_weight(spark: SparkSession, text: Column, ratio: np.ndarray) -> Column:
     """Log importance weight of a text; a null or empty text has no n-grams and weight 0."""
     sent = spark.sparkContext.broadcast(ratio)
-    buckets = len(ratio) // 2
+    width = len(ratio) // 2
+    buckets = (width - CLASSES) // 2
 
     @F.pandas_udf(DoubleType())
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        first, second = sent.value[:buckets], sent.value[buckets:]
+        first, second = sent.value[:width], sent.value[width:]
         for texts in batches:
             out = []
             for text in texts:
-                one, two = features(text, buckets)
+                (one, two), counts = features(text, buckets)
                 terms = np.maximum(first[one], second[two])
-                out.append(float(terms[np.abs(terms) > NOISE].sum(dtype=np.float64)))
+                said = (np.abs(terms) > NOISE) | (one >= 2 * buckets)
+                out.append(float((terms * said).dot(counts / PARTS)))
             yield pd.Series(out, dtype="float64")
 
     # else the optimizer would compute it anew for a filter on it
