@@ -513,6 +513,23 @@ def test_secrets(spark, odd, none):
     assert secret_scan.scan(odd).count() == 0
 
 
+def test_every_long_run_of_a_word_is_a_candidate(spark):
+    one, two, three = "wJalrXUtnFEMI7K7MDENGbPxRfiCY", "s3cr3tPassw0rdOfTheDay", "q1w2e3r4t5y6u7i8o9"
+    texts = [
+        f'aws_secret_access_key="{one}"',
+        f'DATABASE_PASSWORD="{two}"',
+        f"see //example.com/some/path?token={one} there",
+        f'{{"user":"{three}","token":"{one}"}}',
+        f"secret_token={one}",
+        "key1=abcdefabcdefabcdef",
+    ]
+    want = [(0, 1, one), (1, 1, two), (2, 1, one), (3, 0, three), (3, 1, one), (4, 0, one), (5, 0, "key1=abcdefabcdefabcdef")]
+    found = secret_scan.features(secret_scan.candidates(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])), spark.createDataFrame([([],)], "known array<string>"))
+    got = {(r["doc_id"], r["run"], r["candidate"]): (r["quoted"], r["assigned"], r["named"]) for r in found.collect()}
+    assert sorted(got) == want
+    assert [got[w] for w in want] == [(1, 1, 1), (1, 1, 1), (0, 1, 1), (1, 1, 0), (1, 1, 1), (0, 1, 1), (0, 0, 1)]
+
+
 def test_op1_finds_every_assigned_token(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     want = {

@@ -20,6 +20,8 @@ from weftline.session import cut
 
 SHORTEST = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=.\-]{{{SHORTEST},}}"
+#: What a run starts with if it gives a name to a value that is itself long and has a digit.
+ASSIGNMENT = rf"^(?:[A-Za-z_][A-Za-z0-9_.\-]*=)+(?=[^=].{{{SHORTEST - 1}}})(?=.*[0-9])"
 #: Names that secrets are assigned to.
 NAMES = r"(?i)(token|secret|passw|pwd|api|key|auth|credential|bearer)"
 #: Most frequent words taken as the dictionary, and their shortest length.
@@ -40,12 +42,15 @@ def _let(value: Column, body) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, at, word, candidate, before, name, after`` for every candidate of ``docs (doc_id, source, text)``.
+    """``doc_id, source, at, before, name, after, word, run, candidate, lead, trail`` for every candidate of ``docs (doc_id, source, text)``.
 
     ``at`` counts the words before it, ``word`` is the candidate with the signs
     around it, ``before``, ``name`` and ``after`` are the words next to it, one
     and two before it and one after it, empty at the ends. Null and empty texts
-    have none. A word with several candidates counts with the first.
+    have none. ``run`` counts the long runs of the word before this one, with or
+    without a digit; ``lead`` is what stands in the word since the run before that
+    one began, with the name where the run gives one to its value, and ``trail``
+    what follows, up to the next run's first sign. The candidate is without the name.
     """
 
     def of_words(words: Column) -> Column:
@@ -59,7 +64,21 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     found = _let(F.split("text", f"[{SPACE_CLASS}]+"), of_words)
     rows = docs.select("doc_id", "source", F.inline(found))
-    return rows.withColumn("candidate", F.regexp_extract("word", CANDIDATE, 0)).where(F.col("candidate").rlike("[0-9]"))
+    runs = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))
+    rows = rows.withColumn("runs", runs).withColumn("gaps", F.split("word", CANDIDATE, -1))
+    each = rows.select("*", F.posexplode("runs").alias("run", "whole")).where(F.col("whole").rlike("[0-9]"))
+    each = each.withColumn("candidate", F.regexp_replace("whole", ASSIGNMENT, ""))
+    name = F.expr("left(whole, length(whole) - length(candidate))")
+    earlier = F.when(F.col("run") > 0, F.get("runs", F.col("run") - 1)).otherwise("")
+    following = F.get("gaps", F.col("run") + 1)
+    last = F.col("run") == F.size("runs") - 1
+    return each.select(
+        *rows.drop("runs", "gaps").columns,
+        "run",
+        "candidate",
+        F.concat(earlier, F.get("gaps", "run"), name).alias("lead"),
+        F.when(last, following).otherwise(F.substring(following, 1, 1)).alias("trail"),
+    )
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY) -> DataFrame:
@@ -80,6 +99,9 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
     changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
     words = known.first()["known"]
+    first = F.col("run") == 0
+    near = F.concat("lead", text, "trail")
+    given = near.rlike("^[A-Za-z_]+[=:]") | F.col("lead").rlike("[=:][\"'`]?$")
     lowered = lower_ascii(text)
     # each dictionary word that occurs is blanked out; what is blank in the end is covered
     dictionary_words = F.lit(words) if words else F.array().cast("array<string>")
@@ -93,9 +115,9 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
         _share(text, "0-9a-fA-F").alias("hexadecimal"),
         (1 - F.length(F.replace(left, F.lit(" "), F.lit(""))) / F.length(text)).alias("coverage"),
         F.pmod(F.hash("source"), F.lit(PATHS)).cast("double").alias("path"),
-        F.col("word").rlike("[\"'`]").cast("double").alias("quoted"),
-        (F.col("before").rlike("^[=:]+$") | F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]")).cast("double").alias("assigned"),
-        (F.col("before").rlike(NAMES) | F.col("name").rlike(NAMES) | F.col("word").rlike(NAMES)).cast("double").alias("named"),
+        near.rlike("[\"'`]").cast("double").alias("quoted"),
+        (first & (F.col("before").rlike("^[=:]+$") | F.col("before").rlike("[=:]$")) | given).cast("double").alias("assigned"),
+        (first & (F.col("before").rlike(NAMES) | F.col("name").rlike(NAMES)) | near.rlike(NAMES)).cast("double").alias("named"),
         (F.col("candidate") == F.col("word")).cast("double").alias("alone"),
     )
 
@@ -147,6 +169,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("probability >= 0.5").select(
         "doc_id",
         "at",
+        "run",
         F.col("length").cast("int").alias("length"),
         F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"),
         F.round("probability", 4).alias("probability"),
