@@ -9,6 +9,7 @@ from weftline.llm import (  # noqa: F401
     sharding,
     simhash,
     syncmers,
+    variants,
     viterbi,
     wu_manber,
 )
