@@ -1,6 +1,8 @@
 """Loads every operator; the registry then holds all queries of this subpackage."""
 
 from weftline.llm import (  # noqa: F401
+    hard_negatives,
+    id_files,
     line_windows,
     mixing,
     ppm,
