@@ -3,6 +3,7 @@
 from weftline.plans import (  # noqa: F401
     catalog_queries,
     graph_queries,
+    lineage_queries,
     report_queries,
     store_queries,
     trace_queries,
