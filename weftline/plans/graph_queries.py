@@ -318,11 +318,11 @@ def etl_extension(spark, sf):
 # In strict mode the procedure must bear the root table's name, so step tables are the roots here.
 _STEP_ROOTS = "SELECT DISTINCT 'step_' || CAST(o_orderkey % 7 * 7 AS STRING) AS root_id, 'p' || CAST(o_orderkey % 5 AS STRING) AS project_id, 'step_' || CAST(o_orderkey % 7 * 7 AS STRING) AS table_name FROM {orders}"
 _STEP_HITS = """
-hits AS (SELECT DISTINCT r.root_id, c.id AS component_id, c.component_name, c.component_type, c.order_seq FROM roots r JOIN components c ON c.project_id = r.project_id AND c.component_type = 'PROCEDURE')
+hits AS (SELECT DISTINCT r.root_id, c.id AS component_id, c.component_name, c.component_type, c.order_seq FROM roots r JOIN components c ON c.project_id = r.project_id AND c.component_type = 'PROCEDURE' AND c.component_name = r.table_name)
 """
 _STRICT = (
     _ctes(components=b.COMPONENTS, trace=b.TRACE, hierarchy=b.HIERARCHY, roots=_STEP_ROOTS, flows=b.FLOWS)
-    + f", {_EDGES}, {_STEP_HITS}, {_LEVEL_ONE}, {_first_visits(1)}, {_NODES}"
+    + f", {_EDGES}, {_STEP_HITS}, {_LEVEL_ONE}, {_first_visits(DEPTH)}, {_NODES}"
 )
 
 
@@ -333,8 +333,9 @@ _STRICT = (
 def etl_extension_strict(spark, sf):
     components, roots = bind(spark, sf, b.COMPONENTS), bind(spark, sf, _STEP_ROOTS)
     procedures = components.filter(F.col("component_type") == "PROCEDURE").withColumnRenamed("id", "component_id")
-    hits = roots.select("root_id", "project_id").join(procedures, "project_id").select(*reports.ROOT_HIT).distinct()
-    tree = graph.lineage_tree(graph.first_level(hits), _main_edges(spark, sf), 1)
+    named = procedures.withColumn("table_name", F.col("component_name"))
+    hits = roots.join(named, ["project_id", "table_name"]).select(*reports.ROOT_HIT).distinct()
+    tree = graph.lineage_tree(graph.first_level(hits), _main_edges(spark, sf), DEPTH)
     nodes = graph.decorate(tree, roots, components)
     extended = graph.with_flows(nodes, roots, bind(spark, sf, b.FLOWS), strict=True)
     return _shown(extended).select(*[c.strip() for c in _EXTENDED.split(",")])

@@ -12,7 +12,6 @@ from weftline.plans.registry import query
 from weftline.plans.report_queries import text
 from weftline.sources import inventory
 
-# All tables but embeddings: Spark and DuckDB write single-precision numbers in different digits.
 _SAMPLED = {
     "region": ["r_regionkey"],
     "nation": ["n_nationkey"],
@@ -27,6 +26,7 @@ _SAMPLED = {
     "benchmark": ["item_id"],
     "labels": ["doc_id"],
     "conversations": ["conv_id", "turn"],
+    "embeddings": ["vec_id"],
 }
 _CELLS = {
     "region": ["r_regionkey", "r_name"],
@@ -45,12 +45,19 @@ _CELLS = {
     "benchmark": ["item_id", "text"],
     "labels": ["doc_id", "quality", "toxic"],
     "conversations": ["conv_id", "turn", "role", "text"],
+    "embeddings": ["vec_id", "embedding:digits", "label"],
 }
+# Single-precision numbers are shown in as many digits on both sides.
+_DIGITS = "%.6f"
 
 
 def _cell(column: str) -> str:
     name, _, kind = column.partition(":")
-    value = f"strftime({name}, '%Y-%m-%dT%H:%M:%S.%gZ')" if kind else f"CAST({name} AS VARCHAR)"
+    value = {
+        "": f"CAST({name} AS VARCHAR)",
+        "ts": f"strftime({name}, '%Y-%m-%dT%H:%M:%S.%gZ')",
+        "digits": f"array_to_string(list_transform({name}, lambda x: printf('{_DIGITS}', CAST(x AS DOUBLE))), ' ')",
+    }[kind]
     return f"'{name}': coalesce({value}, '')"
 
 
@@ -63,7 +70,11 @@ _SAMPLES = " UNION ALL ".join(
 
 @query("s6_table_samples", f"{_SAMPLES} UNION ALL SELECT 'missing', NULL, NULL, 'Error: PATH_NOT_FOUND'")
 def table_samples(spark, sf):
-    tables = {t: (lambda t=t: load(spark, sf, t)) for t in [*_SAMPLED, "missing"]}
+    def digits():
+        shown = F.transform("embedding", lambda x: F.format_string(_DIGITS, x.cast("double")))
+        return load(spark, sf, "embeddings").withColumn("embedding", F.array_join(shown, " "))
+
+    tables = {t: (lambda t=t: load(spark, sf, t)) for t in [*_SAMPLED, "missing"]} | {"embeddings": digits}
     return inventory.sample_tables(spark, tables, order_by=_SAMPLED)
 
 
@@ -180,7 +191,7 @@ SELECT project_id, table_name, column_name, data_lineage_type, lineage_data, upd
   SELECT *, row_number() OVER (PARTITION BY project_id, table_name, column_name ORDER BY updated_at DESC, lineage_data DESC NULLS LAST) AS rn FROM ({b.RESULTS}) r WHERE updated_at < TIMESTAMP '1998-01-01 00:00:00'
 ) s WHERE rn = 1
 """
-_NEWER = f"SELECT project_id, table_name, column_name, data_lineage_type, lineage_data, updated_at FROM ({b.RESULTS}) r WHERE updated_at >= TIMESTAMP '1998-01-01 00:00:00' AND project_id <> 'p3'"
+_NEWER = f"SELECT project_id, table_name, column_name, data_lineage_type, lineage_data, updated_at FROM ({b.RESULTS}) r WHERE updated_at >= TIMESTAMP '1998-01-01 00:00:00'"
 
 
 @query(

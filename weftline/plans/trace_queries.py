@@ -226,6 +226,40 @@ def trace_accounting(spark, sf):
     return usage.trace_accounting(source_files(spark, sf), b.bind(spark, sf, b.DB_SCHEMAS), usages(spark, sf))
 
 
+# Large errors fail a stage of a project; some of these projects have nothing else.
+_FAILURES = """
+SELECT 'p' || CAST(user_id % 25 AS STRING) AS project_id,
+       CASE event_id % 4 WHEN 0 THEN 'file_scan' WHEN 1 THEN 'schema_parse' WHEN 2 THEN 'lineage_trace' ELSE 'ai_describe' END AS job_type,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'broke at ' || CAST(event_id AS STRING) END AS error
+FROM {events} WHERE event_type = 'error' AND user_id % 3 = 0
+"""
+_DESCRIBED = "CASE WHEN length(column_name) % 3 > 0 THEN 'Says ' || column_name END"
+
+
+@query(
+    "t15_failed_and_described",
+    _with(
+        o.TRACE,
+        f"failures AS ({b.plain(_FAILURES)})",
+        select=f"""
+        , stages AS (SELECT project_id, 'file_scan' AS job_type, count(*) AS total, count(*) AS progress FROM source_files GROUP BY ALL
+          UNION ALL SELECT project_id, 'schema_parse', count(*), count(*) FROM db_schemas GROUP BY ALL
+          UNION ALL SELECT project_id, 'lineage_trace', count(*), count(*) FROM usages GROUP BY ALL
+          UNION ALL SELECT project_id, 'ai_describe', count(*), count({_DESCRIBED}) FROM db_columns c JOIN db_schemas s ON s.id = c.schema_id GROUP BY ALL),
+        failed AS (SELECT project_id, job_type, min(coalesce(error, '')) AS error FROM failures GROUP BY ALL)
+        SELECT p.project_id, j.job_type, CASE WHEN f.job_type IS NULL THEN 'completed' ELSE 'failed' END AS status, coalesce(progress, 0) AS progress, coalesce(total, 0) AS total, f.error
+        FROM (SELECT project_id FROM stages UNION SELECT project_id FROM failures) p CROSS JOIN (VALUES ('file_scan'), ('schema_parse'), ('lineage_trace'), ('ai_describe')) j(job_type)
+        LEFT JOIN stages s ON s.project_id = p.project_id AND s.job_type = j.job_type LEFT JOIN failed f ON f.project_id = p.project_id AND f.job_type = j.job_type""",
+    ),
+)
+def failed_and_described(spark, sf):
+    schemas = b.bind(spark, sf, b.DB_SCHEMAS)
+    owners = schemas.select(F.col("id").alias("schema_id"), "project_id")
+    columns = b.bind(spark, sf, b.DB_COLUMNS).join(owners, "schema_id")
+    described = columns.select("project_id", F.expr(_DESCRIBED).alias("ai_description"))
+    return usage.trace_accounting(source_files(spark, sf), schemas, usages(spark, sf), b.bind(spark, sf, _FAILURES), described)
+
+
 @query(
     "t15_parsed_files",
     _with(o.FILES, select="SELECT id, project_id, content <> '' AS parsed FROM source_files"),
