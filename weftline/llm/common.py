@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,3 +57,13 @@ def cut_packed(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/weftline/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(make: Callable[[Any], Any], given: Any) -> Any:
+    """``make(given)``, once for all tasks of a Python worker; a later call with something else takes its place."""
+    # functions come by value, so only a module of the process outlives a task
+    store = sys.modules.setdefault("_weftline_kept", types.ModuleType("_weftline_kept"))
+    held = store.__dict__.setdefault(make.__qualname__, [None, None])
+    if held[1] is None or held[0] != given:
+        held[:] = [given, make(given)]
+    return held[1]

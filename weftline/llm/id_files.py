@@ -21,10 +21,12 @@ attempt uses, and only those of successful attempts get into the manifest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any, BinaryIO, NamedTuple
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from weftline.llm.common import documents
+from weftline.llm.common import documents, kept
 from weftline.llm.registry import query
 from weftline.session import checkpoint_dir, cut
 
@@ -45,12 +47,36 @@ from weftline.session import checkpoint_dir, cut
 END = 2
 SHARD_IDS = 32 << 20
 SHARD_DOCS = 1 << 16
-#: Characters encoded at a time, and bytes of words whose ids a task remembers.
+#: Characters encoded at a time, and bytes of parts whose ids a worker remembers.
 PIECE = 1 << 20
-REMEMBERED = 48 << 20
+REMEMBERED = 96 << 20
 #: Bytes of ids that one batch of a reader holds (or one document).
 BATCH = 16 << 20
 
+#: What the tokenizer does before its model, as its file says it.
+_STEPS = [
+    {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
 _MAGIC = b"WEFTIDX1"
 _HEADER = "<8sIIQQQQ"
 #: Places per key in a bit array.
@@ -72,23 +98,33 @@ def opened(path: str) -> tuple[files.FileSystem, str]:
 class Encoder:
     """Ids of whole texts as bytes.
 
-    Where the tokenizer splits at white space and drops it, before anything else
-    looks across it, words between spaces, tabs and line ends are encoded one by one,
-    and a word that comes again is not computed again. Under other tokenizers a text
-    is encoded at once.
+    Where the tokenizer's file says that it composes signs, makes white space one
+    space, lower-cases and splits as ``_STEPS`` do, nothing looks across white space.
+    Text of ASCII and Latin-1 letters is then lower-cased and split here, the library's
+    model sees the parts, and a part that comes again is not computed again. Words
+    with other signs go through the library whole, and under other tokenizers every
+    text does.
     """
 
-    def __init__(self, json: str):
+    def __init__(self, json_text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
+        self.tokenizer = Tokenizer.from_str(json_text)
+        self.model = self.tokenizer.model
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        splitter = self.tokenizer.pre_tokenizer
-        parts = [part for part, _ in splitter.pre_tokenize_str("a b\tc\nd\r e")] if splitter else []
-        self.spaced = parts == list("abcde")
-        self.words = re.compile(r"[^ \t\n\r]+").findall
+        said = json.loads(json_text)
+        added = [token["content"] for token in said["added_tokens"] if token["normalized"] or token["content"][:2] != "<|"]
+        self.spaced = [said["normalizer"], said["pre_tokenizer"]] == _STEPS and not added
         self.gap = re.compile(r"[ \t\n\r]").search
+        self.words = re.compile("[^ \t\n\r]+").findall
+        self.plain = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+        self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [byte for byte in range(256) if byte not in set(kept)]
+        #: the sign that stands for each byte in the vocabulary
+        self.signs = {byte: 256 + place for place, byte in enumerate(other)}
+        #: ids of parts, and of whole words after a space
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -100,25 +136,51 @@ class Encoder:
             yield text[at:end]
             at = end
 
+    def keep(self, key: str, ids: list[int]) -> None:
+        found = self.known[key] = array(self.type.char, ids).tobytes()
+        self.held += 160 + len(key) + len(found)
+
+    def learn(self, keys: list[str]) -> None:
+        """Find the ids of what is not known yet."""
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        tokenize, whole = self.model.tokenize, []
+        for key in set(keys).difference(self.known):
+            if key[0] == " ":
+                whole.append(key)
+            else:
+                signs = key if key.isascii() else key.encode().decode("latin-1").translate(self.signs)
+                self.keep(key, [token.id for token in tokenize(signs)])
+        if whole:
+            for key, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+                self.keep(key, found.ids)
+
+    def split(self, text: str) -> list[str]:
+        """Parts, and words with a space before them that only the library can split."""
+        # special tokens know their case
+        if self.plain(text) and "<|" not in text:
+            return self.parts(text.lower())
+        keys: list[str] = []
+        for word in self.words(text):
+            if self.plain(word) and "<|" not in word:
+                keys += self.parts(word.lower())
+            else:
+                keys.append(" " + word)
+        return keys
+
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text in parts, without an end."""
         if not self.spaced:
-            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+            yield array(self.type.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             return
         for piece in self.pieces(text):
-            words = self.words(piece)
+            keys = self.split(piece)
             try:
-                yield b"".join(map(self.known.__getitem__, words))
+                yield b"".join(map(self.known.__getitem__, keys))
             except KeyError:
-                if self.held > REMEMBERED:
-                    self.known.clear()
-                    self.held = 0
-                new = list({word for word in words if word not in self.known})
-                for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    ids = np.array(found.ids, self.type).tobytes()
-                    self.known[word] = ids
-                    self.held += 150 + len(word) + len(ids)
-                yield b"".join(map(self.known.__getitem__, words))
+                self.learn(keys)
+                yield b"".join(map(self.known.__getitem__, keys))
 
 
 def key_bytes(key: Any) -> bytes:
@@ -296,7 +358,7 @@ def write(
     system.create_dir(place, recursive=True)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, kind = Encoder(sent.value), None, None
+        encoder, writer, kind = kept(Encoder, sent.value), None, None
         for batch in batches:
             kind = batch.schema.field(0).type
             writer = writer or _Writer(folder, encoder.type.itemsize, shard_ids, shard_docs)
