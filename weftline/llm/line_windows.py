@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 
 def _windows(text: Column) -> Column:
-    """Position and two independent 64-bit hashes of each window that has more than white space."""
+    """Position and two independent 64-bit hashes of each window that has more than spaces and line ends."""
 
     def window(lines: Column, at: Column) -> Column:
         parts = [F.get(lines, at + i) for i in range(WINDOW)]
@@ -68,22 +68,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     name where ``docs`` has them already. An empty table gives no rows.
     """
     count, removed, mark = (fresh(docs, name) for name in ("n_lines", "n_removed", "hash"))
+    whose, same, gone = (fresh(docs, name) for name in ("_id", "_hash", "covered"))
     covered = repeated_lines(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "covered"
+        F.col("doc_id").alias(whose), F.col("hash").alias(same), F.col("covered").alias(gone)
     )
     rows = docs.withColumn(mark, F.xxhash64("text"))
-    found = rows.join(covered, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows[mark] == F.col("_hash")), "left")
+    found = rows.join(covered, rows["doc_id"].eqNullSafe(F.col(whose)) & (rows[mark] == F.col(same)), "left")
     lines = _lines(rows["text"])
 
     def rest(own: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), covered["covered"])
+        kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), covered[gone])
         return F.array_join(F.transform(kept, lambda at: F.get(own, at)), "\n")
 
-    text = F.when(covered["covered"].isNull(), rows["text"]).otherwise(_let(lines, rest))
+    text = F.when(covered[gone].isNull(), rows["text"]).otherwise(_let(lines, rest))
     return found.select(
         *[text.alias(c) if c == "text" else rows[c] for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(count),
-        F.coalesce(F.size(covered["covered"]), F.lit(0)).cast("long").alias(removed),
+        F.coalesce(F.size(covered[gone]), F.lit(0)).cast("long").alias(removed),
     )
 
 
