@@ -37,7 +37,7 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
     assert "pipeline" not in __spark_entry__.oracle_sql()
 
 
@@ -75,13 +75,37 @@ def test_near_copies_against_all_pairs(spark):
 
 
 def test_near_copies_of_one_crowded_group(spark):
-    """Sixty copies of one text with a few words changed, and forty that share half of another: far over a bucket's bound."""
+    """Sixty copies of one text with a few words changed, and forty that share half of another: many blocks where these are small."""
     rng = random.Random(5)
     base, half = [[f"{c}{i}" for i in range(200)] for c in "ab"]
     texts = [[f"x{k}" if rng.random() < 0.01 else w for w in base] for k in range(60)]
     texts += [half[:120] + [f"y{k}z{i}" for i in range(80)] for k in range(40)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "two words"), (903, "Two  words")]
     kept, pairs = brute_kept(rows)
-    for bucket in (2, 16):
-        got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bucket)
+    for crowd in (2_000, near_copies.CROWD):
+        got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), crowd)
         assert pairs > 60 and {r["doc_id"] for r in got.collect()} == kept
+
+
+def test_no_link_of_a_loose_group_is_lost(spark):
+    """Eight hundred texts of which each word was changed with probability 0.012: many are only like a few of the others."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(w if rng.random() >= 0.012 else f"x{rng.randrange(10**6)}" for w in base), 1, 2) for i in range(800)]
+    kept, pairs = brute_kept([row[:2] for row in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int, shingles int")
+    got = near_copies.one_of_each(docs, 40_000)
+    assert got.columns == docs.columns and pairs > 10_000 and 40 < len(kept) < 100
+    assert {r["doc_id"] for r in got.collect()} == kept
+
+
+def test_stages_on_odd_documents(spark):
+    """Null ids, texts and sources, repeated rows and an empty table pass through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "One two three", "en", "a", 13), (1, "One two three", "en", "a", 13), (None, "lost words", None, None, None), (2, None, "en", "b", 0), (3, "", "en", None, 0)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF).cache()
+            assert name == "sharding" or docs.columns == columns
+            docs.count()

@@ -153,14 +153,17 @@ def one_of_each(
     bucket: int = BUCKET,
     mark: Callable[[Column], Column] = fingerprint,
     linked: Callable[[DataFrame, int], DataFrame] = links,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the least doc_id stays.
 
     All columns of ``docs`` are returned as they are. Where several rows of a
     class share the least doc_id (or have none), one of them stays. ``mark`` gives
-    a text's fingerprint and ``linked`` the edges between fingerprints.
+    a text's fingerprint and ``linked`` the edges between fingerprints; ``rows (doc_id, fp)``
+    are the fingerprints of all documents where they are known already.
     """
-    rows = cut(docs.select("doc_id", mark(F.col("text")).alias("fp")))
+    if rows is None:
+        rows = cut(docs.select("doc_id", mark(F.col("text")).alias("fp")))
     kept = classes(rows, bucket, linked).select(F.col("component_id").alias("doc_id"), F.col("keep_fp").alias("fp")).distinct()
     repeated = cut(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
     kept = cut(kept)
