@@ -1,3 +1,4 @@
+import warnings
 import zipfile
 
 from pyspark.sql import functions as F
@@ -99,3 +100,50 @@ def test_trees(spark, tmp_path):
             ("p", "go", "src/model/a.go", "package a\n"),
             ("p", "python", "my dir/b +%41é.py", "x = 1\n"),
         ]
+
+
+def test_a_large_archive_is_read_by_many_tasks(spark, tmp_path):
+    texts = {f"src/f{i}.py": f"x = {i}\n" * (i % 50) for i in range(5_000)}
+    folder = tmp_path / "some folder"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "big +%41é.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in texts.items():
+            z.writestr(name, text)
+            z.writestr(name.replace(".py", ".md"), text)
+    entries = corpus.archive_entries(spark, str(folder))
+    tasks = entries.groupBy(F.spark_partition_id()).count().collect()
+    # 5,000 entries are 20 pieces, which hashing deals to fewer tasks
+    assert len(tasks) > 5 and max(r["count"] for r in tasks) < 2_500
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]
+    assert {(r.project_id, r.file_path): r.content for r in entries.collect()} == {
+        ("big +%41é", name): text for name, text in texts.items()
+    }
+    whole = corpus.archive_entries(spark, str(folder), whole=True)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, entries.collect()))
+
+
+def test_ways_of_packing(spark, tmp_path):
+    methods = [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    with open(tmp_path / "mixed.zip", "wb") as out:
+        out.write(b"#!/bin/sh\n" * 9)  # an archive may follow something else
+        with zipfile.ZipFile(out, "a") as z:
+            for i, method in enumerate(methods):
+                z.writestr(f"é{i}.sql", f"select {i};" * 100, method)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                z.writestr("é0.sql", "the later one")
+    with zipfile.ZipFile(tmp_path / "secret.zip", "w") as z:
+        z.writestr("a.py", "x")
+    blob = bytearray((tmp_path / "secret.zip").read_bytes())
+    blob[blob.rindex(b"PK\x01\x02") + 8] |= 1  # marked as encrypted
+    (tmp_path / "secret.zip").write_bytes(bytes(blob))
+    with zipfile.ZipFile(tmp_path / "nothing.zip", "w"):
+        pass
+    got = {(r.project_id, r.file_path): r.content or r.error for r in corpus.archive_entries(spark, str(tmp_path)).collect()}
+    want = {("mixed", f"é{i}.sql"): f"select {i};" * 100 for i in range(1, 4)} | {("mixed", "é0.sql"): "the later one"}
+    assert got == want | {("secret", "a.py"): "RuntimeError: the entry is encrypted"}
+
+
+def test_no_archives_no_entries(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert corpus.read_archives(spark, str(tmp_path / "none")).collect() == []

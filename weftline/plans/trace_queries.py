@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.operators import lines, orm, usage
 from weftline.plans import bindings as b, oracle_text as o
 from weftline.plans.registry import query
-from weftline.session import cut
-from weftline.sources import corpus
+from weftline.session import checkpoint_dir, cut
+from weftline.sources import archives, corpus
 
 
 _WRITTEN: dict[tuple[str, str], DataFrame] = {}
@@ -49,6 +50,16 @@ def _with(*parts: str, select: str) -> str:
     return "WITH " + ", ".join(parts) + " " + select
 
 
+def _as_files(spark: SparkSession, sf: str, project: Column) -> DataFrame:
+    """Every document as a code file of ``project``."""
+    ending = F.element_at(F.array(F.lit(".py"), F.lit(".sql"), F.lit(".TSX")), (1 + F.col("doc_id") % 3).cast("int"))
+    return b.load(spark, sf, "documents").select(
+        project.alias("project_id"),
+        F.concat(F.lit("src/"), F.col("doc_id").cast("string"), ending).alias("file_path"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for project, path, text in zip(batch["project_id"], batch["file_path"], batch["text"]):
@@ -68,14 +79,47 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def unpacked_files(spark, sf):
     """Every document packed into an archive of its own, beside two entries that are no code, and unpacked."""
-    ending = F.element_at(F.array(F.lit(".py"), F.lit(".sql"), F.lit(".TSX")), (1 + F.col("doc_id") % 3).cast("int"))
-    packed = b.load(spark, sf, "documents").select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("project_id"),
-        F.concat(F.lit("src/"), F.col("doc_id").cast("string"), ending).alias("file_path"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    archives = packed.mapInPandas(_pack, "project_id string, archive binary")
-    return corpus.unpacked_files(corpus.unpack(archives)).withColumn("content", F.md5("content"))
+    packed = _as_files(spark, sf, F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    blobs = packed.mapInPandas(_pack, "project_id string, archive binary")
+    return corpus.unpacked_files(corpus.unpack(blobs)).withColumn("content", F.md5("content"))
+
+
+def _write_archives(folder: str):
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, place = archives.file_at(folder)
+        project, stream, archive = None, None, None
+        for batch in batches:
+            for name, path, text in zip(batch["project_id"], batch["file_path"], batch["text"]):
+                if name != project:
+                    if archive is not None:
+                        archive.close()
+                        stream.close()
+                    system.create_dir(place, recursive=True)
+                    stream = system.open_output_stream(f"{place}/{name}.zip")
+                    project, archive = name, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                    archive.writestr("notes.md", name)
+                archive.writestr(path, text)
+            yield batch[["file_path"]]
+        if archive is not None:
+            archive.close()
+            stream.close()
+
+    return write
+
+
+@query(
+    "s1_archives_by_directory",
+    """SELECT md5(concat_ws(chr(10), project_id, file_path)) AS id, project_id, file_path, language, md5(text) AS content, false AS parsed FROM (
+      SELECT 'a' || (doc_id // 1000) AS project_id, 'src/' || doc_id || ['.py', '.sql', '.TSX'][1 + doc_id % 3] AS file_path,
+             ['python', 'sql', 'typescript'][1 + doc_id % 3] AS language, coalesce(text, '') AS text FROM documents)""",
+)
+def archives_by_directory(spark, sf):
+    """Every document in a written archive of a thousand neighbours, read back by its directory."""
+    packed = _as_files(spark, sf, F.concat(F.lit("a"), F.expr("doc_id div 1000").cast("string")))
+    folder = f"{checkpoint_dir(spark)}/weftline/{uuid.uuid4().hex}"
+    dealt = packed.repartition("project_id").sortWithinPartitions("project_id")
+    cut(dealt.mapInPandas(_write_archives(folder), "file_path string"))
+    return corpus.read_archives(spark, folder).withColumn("content", F.md5("content"))
 
 
 @query(

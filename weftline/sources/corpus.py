@@ -6,16 +6,15 @@ Columns: ``id, project_id, file_path, language, content, parsed``.
 from __future__ import annotations
 
 import io
-import lzma
 import re
 import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions.text import one_of_substrings
+from weftline.sources.archives import ENTRIES, UNREADABLE, contents, dealt, directory, in_batches, said
 
 # Endings that make a file code, and path parts that rule it out.
 CODE_ENDINGS = [
@@ -56,9 +55,6 @@ SOURCE_FILES = "id string, project_id string, file_path string, language string,
 _CODE = "(" + "|".join(re.escape(e) for e in CODE_ENDINGS) + r")\z"
 _EXCLUDED = "|".join(re.escape(p) for p in EXCLUDED_PARTS)
 
-ENTRY_BATCH_CHARS = 8 << 20
-
-
 def is_code_file(path: Column) -> Column:
     low = F.lower(path)
     return low.rlike(_CODE) & ~low.rlike(_EXCLUDED)
@@ -106,32 +102,27 @@ def _source_files(entries: DataFrame) -> DataFrame:
     )
 
 
-ENTRIES = "project_id string, file_path string, content string, error string"
-_ENTRY_COLUMNS = [column.split()[0] for column in ENTRIES.split(", ")]
-
-
-def _said(error: Exception) -> str:
-    return f"{type(error).__name__}: {error}"
+def _is_wanted(name: str) -> bool:
+    """:func:`is_code_file` for one name."""
+    low = name.lower()
+    return bool(re.search(_CODE.replace(r"\z", r"\Z"), low)) and not re.search(_EXCLUDED, low)
 
 
 def _code_entries(project: str, blob: bytes) -> Iterator[tuple[str, str | None, str | None, str | None]]:
     """Rows of ``ENTRIES`` for one archive: its code files, and what could not be read."""
-    code, excluded = re.compile(_CODE.replace(r"\z", r"\Z")), re.compile(_EXCLUDED)
     try:
         archive = zipfile.ZipFile(io.BytesIO(blob))
     except (zipfile.BadZipFile, ValueError, OSError) as error:
-        yield project, None, None, _said(error)
+        yield project, None, None, said(error)
         return
     with archive:
         for name, info in archive.NameToInfo.items():
-            low = name.lower()
-            if info.is_dir() or not code.search(low) or excluded.search(low):
+            if info.is_dir() or not _is_wanted(name):
                 continue
             try:
                 text = archive.read(info).decode("utf-8", errors="replace")
-            # damaged, cut off, encrypted or packed in a way that is not known
-            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, ValueError) as error:
-                yield project, name, None, _said(error)
+            except UNREADABLE as error:
+                yield project, name, None, said(error)
             else:
                 yield project, name, text, None
 
@@ -139,16 +130,7 @@ def _code_entries(project: str, blob: bytes) -> Iterator[tuple[str, str | None,
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for project, blob in zip(batch["project_id"], batch["archive"]):
-            rows: list[tuple[str, str | None, str | None, str | None]] = []
-            held = 0
-            for row in _code_entries(project, blob if blob is not None else b""):
-                rows.append(row)
-                held += len(row[2] or "")
-                if held >= ENTRY_BATCH_CHARS:
-                    yield pd.DataFrame(rows, columns=_ENTRY_COLUMNS, dtype=object)
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=_ENTRY_COLUMNS, dtype=object)
+            yield from in_batches(_code_entries(project, blob if blob is not None else b""))
 
 
 def unpack(archives: DataFrame) -> DataFrame:
@@ -171,25 +153,31 @@ def failed_uploads(entries: DataFrame) -> DataFrame:
     return entries.where("error is not null").select("project_id", "file_path", "error")
 
 
-def archive_entries(spark: SparkSession, path: str, project: Column | None = None) -> DataFrame:
+def archive_entries(spark: SparkSession, path: str, project: Column | None = None, whole: bool = False) -> DataFrame:
     """Entries of the zip archives at ``path``; the project is the archive's base name unless given.
 
-    Spark's reader passes over files of no bytes, so these have no row here.
+    The archives are listed by Spark and read by their directories, see
+    :mod:`weftline.sources.archives`; the directories are read at once, the
+    contents when the result is. ``whole`` reads each archive in one piece, of
+    2 GiB at most, through Spark's own reader: for file systems that ``pyarrow.fs``
+    cannot open. Spark passes over files of no bytes, so these have no row here.
     """
     if project is None:
         project = F.regexp_extract(F.col("path"), r"([^/]+?)(?:[.][zZ][iI][pP])?\z", 1)
     archives = spark.read.format("binaryFile").load(path)
-    return unpack(archives.select(project.alias("project_id"), F.col("content").alias("archive")))
+    if whole:
+        return unpack(archives.select(project.alias("project_id"), F.col("content").alias("archive")))
+    return contents(dealt(directory(archives.select(project.alias("project_id"), "path"), _is_wanted)))
 
 
-def read_archives(spark: SparkSession, path: str, project: Column | None = None) -> DataFrame:
-    """Zip archives → source files.
+def read_archives(spark: SparkSession, path: str, project: Column | None = None, whole: bool = False) -> DataFrame:
+    """Zip archives → source files, spread over the tasks that read them.
 
-    One archive is one task, so unpacked files are spread out again before the
-    text-heavy stages that follow. What could not be read is left out here;
-    ``failed_uploads(archive_entries(...))`` names it.
+    What could not be read is left out here; ``failed_uploads(archive_entries(...))`` names it.
     """
-    return unpacked_files(archive_entries(spark, path, project)).repartition(F.col("id"))
+    files = unpacked_files(archive_entries(spark, path, project, whole))
+    # an archive read whole is one task, so its files are spread before the text-heavy stages that follow
+    return files.repartition(F.col("id")) if whole else files
 
 
 def read_tree(spark: SparkSession, path: str, project_id: str) -> DataFrame:
