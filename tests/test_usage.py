@@ -164,3 +164,57 @@ def test_letters_beyond_ascii_bound_a_word(spark):
     line = spark.createDataFrame([("orderİ = 1; Kelvin.\u212aey = ÀTotal_ID",)], "line string")
     found = line.select(usage.line_tokens(F.col("line"))).first()[0]
     assert set(found) == {"order", "1", "kelvin", "ey", "total_id"}
+
+
+def many_tokens(spark, n):
+    """A third of all tokens is one known spelling, a sixth another one; the others are in no dictionary."""
+    token = F.when(F.col("id") % 3 == 0, "hotcolumn").when(F.col("id") % 6 == 1, "warmcolumn").otherwise(
+        F.concat(F.lit("other"), F.col("id").cast("string"))
+    )
+    return spark.range(n).select(
+        F.lit("p").alias("project_id"), token.alias("probe"), F.concat(F.lit("f"), (F.col("id") % 97).cast("string")).alias("file_id"),
+        F.lit(0).alias("block_start"), F.col("id").alias("line_number"),
+    )
+
+
+def test_only_tokens_that_may_be_known_move(spark):
+    words = spark.range(20_000).select(F.lit("p").alias("project_id"), F.concat(F.lit("known"), F.col("id").cast("string")).alias("probe"))
+    named = spark.createDataFrame([("p", "hotcolumn"), ("p", "warmcolumn"), (None, "x")], "project_id string, probe string")
+    words = words.unionByName(named)
+    n = 120_000
+    moved = usage.known_probes(many_tokens(spark, n), words)
+    counts = {r.probe: r["count"] for r in moved.groupBy("probe").count().collect()}
+    assert (counts.pop("hotcolumn"), counts.pop("warmcolumn")) == (n // 3, n // 6)
+    assert sum(counts.values()) < 0.02 * n / 2
+    assert "BroadcastHashJoin" in moved._jdf.queryExecution().executedPlan().toString()
+    # every spelling passes, in its project only but for chance
+    assert usage.known_probes(words.where("project_id is not null"), words).count() == 20_002
+    assert usage.known_probes(words.withColumn("project_id", F.lit("q")), words).count() < 400
+    assert usage.known_probes(many_tokens(spark, 100), words.limit(0)).count() == 0
+
+
+def test_hot_tokens_are_split_by_their_number(spark):
+    words = spark.createDataFrame([("p", "hotcolumn", 1), ("p", "warmcolumn", 2), ("p", "warmcolumn", 3), ("p", "rare", 4)], "project_id string, probe string, c int")
+    rows = many_tokens(spark, 60_000)
+    dealt, copies = usage.in_parts(rows, words, split_rows=1_000, split_share=0)
+    assert {(r.probe, r.c): r["count"] for r in copies.groupBy("probe", "c").count().collect()} == {
+        ("hotcolumn", 1): 20, ("warmcolumn", 2): 10, ("warmcolumn", 3): 10, ("rare", 4): 1,
+    }
+    largest = dealt.groupBy("probe", "_part").count().agg(F.max("count")).first()[0]
+    assert 1_000 <= largest < 1_300
+    key = ["project_id", "probe"]
+    want = rows.join(words, key).select("line_number", "c")
+    got = dealt.join(copies, [*key, "_part"]).select("line_number", "c")
+    assert got.count() == want.count() == 40_000 and got.exceptAll(want).count() == 0
+    # by default a token is split from a share of all rows on, so that the list of split ones stays short
+    assert usage.in_parts(rows, words, split_rows=1, split_share=0.25)[1].where("probe = 'warmcolumn'").count() == 2
+
+
+def test_fields_are_found_among_tokens(spark):
+    fields = [(f"f{i}", f"c{i}", i) for i in range(5)]
+    df = spark.createDataFrame(
+        [(["f1", "x", "f3"], fields), (["x"], fields), ([], fields), (["f1"], [])],
+        "tokens array<string>, field_map array<struct<field string, column_name string, seq int>>",
+    )
+    got = [r[0] for r in df.select(usage._mapped_probes(F.col("tokens"), F.col("field_map"))).collect()]
+    assert got == [["mapped:c1", "mapped:c3"], [], [], []]
