@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -180,11 +181,22 @@ def test_packs_find_the_same(spark, odd, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want, name = wu_manber.search(odd, items)
     want = rows(want.select("doc_id", name))
-    monkeypatch.setattr(wu_manber, "PACK", 40)
+    monkeypatch.setattr(wu_manber, "PACK", 8)
     got, name = wu_manber.search(odd, items)
     assert rows(got.select("doc_id", name)) == want
 
 
+def test_a_full_pack_of_different_words_is_small():
+    words = [f"word{i * 7919 % 700_001}" for i in range(wu_manber.PACK)]
+    items = [(f"item{i}", " ".join(words[i : i + 5_000]).encode()) for i in range(0, len(words), 5_000)]
+    tracemalloc.start()
+    pack = wu_manber.compile_patterns(items)
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size < 300 << 20
+    assert wu_manber.find(" ".join(words[5_003:5_020]).encode(), pack) == (17, [[0, 17]], ["item5000"])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=4))
 def test_wu_manber_against_direct_search(text, items):

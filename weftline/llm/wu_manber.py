@@ -12,12 +12,17 @@ patterns of one word):
 * comparing all words of the pattern with the text confirms an occurrence.
 
 Documents stay where they are: the patterns are sent to them. They are sent in
-packs of at most ``PACK`` items' words, measured beforehand, so a benchmark of
-any size is searched in several passes whose findings are merged per document.
+packs of about ``PACK`` windows, measured beforehand, so a benchmark of any size is
+searched in several passes whose findings are merged per document. An item with more
+windows is cut into parts that overlap by all words of a window but one. A pack is
+kept as numbers: its words once each, its texts as an array of word numbers, a
+pattern as a place in that array; a Python worker compiles it once for all its tasks.
 """
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -25,13 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from weftline.llm.common import documents, fresh, table, text_bytes
+from weftline.llm.common import documents, fresh, kept, lower_ascii, table, text_bytes
 from weftline.llm.registry import query
 from weftline.session import cut
 
 WINDOW = 10
-#: Most bytes of item text that one pass sends to the tasks.
-PACK = 32 << 20
+#: About as many windows one pass sends to the tasks.
+PACK = 500_000
+
+#: Fixed value: a word as the contract says it, for Spark.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Every byte that is no part of a word becomes a space, A-Z become small letters.
 _WORDS = bytes(
@@ -53,58 +61,93 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Patterns:
-    """Shift table and buckets for patterns of ``length`` words each."""
+    """Shift table and buckets for patterns of ``length`` words each.
+
+    ``starts`` are the places of the patterns in ``held``, the word numbers of all
+    items; ``owners`` says whose each is. One table has both facts about a block: how
+    far to move if positive, else, negated, its bucket.
+    """
 
-    def __init__(self, length: int, items_of: dict[tuple[bytes, ...], set[str]]):
-        self.length = length
+    def __init__(self, length: int, held: array, starts: array, owners: array):
+        self.length, self.held = length, held
         self.block = min(2, length)
         self.jump = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], list] = defaultdict(list)
-        for pattern, items in items_of.items():
-            for end in range(self.block, length + 1):
-                block = pattern[end - self.block : end]
-                self.shift[block] = min(length - end, self.shift.get(block, self.jump))
-            self.buckets[pattern[length - self.block :]].append((list(pattern), items))
-
-    def search(self, text: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """Where occurrences start, from left to right, and whose they are."""
-        shift, jump, length, block = self.shift, self.jump, self.length, self.block
+        self.starts, self.owners = starts, owners
+        self.moves: dict[int, int] = {}
+        self.buckets = [array("q")]
+        for pattern, start in enumerate(starts):
+            for end in range(self.block, length):
+                block = self._block(held, start + end)
+                move = self.moves.get(block, self.jump)
+                self.moves[block] = min(length - end, move)
+            last = self._block(held, start + length)
+            bucket = self.moves.get(last, self.jump)
+            if bucket > 0:
+                self.buckets.append(array("q"))
+                bucket = self.moves[last] = 1 - len(self.buckets)
+            self.buckets[-bucket].append(pattern)
+
+    def _block(self, numbers, end: int) -> int:
+        return numbers[end - 2] << 32 | numbers[end - 1] if self.block == 2 else numbers[end - 1]
+
+    def search(self, text: array) -> Iterator[tuple[int, int]]:
+        """Where occurrences start, from left to right, and the number of the item."""
+        moves, jump, length, block = self.moves, self.jump, self.length, self.block
         at, last = length, len(text)
         while at <= last:
-            ending = (text[at - 2], text[at - 1]) if block == 2 else (text[at - 1],)
-            move = shift.get(ending, jump)
-            if move:
+            # a word that is in no item has the number -1, and no block with it is known
+            ending = text[at - 2] << 32 | text[at - 1] if block == 2 else text[at - 1]
+            move = moves.get(ending, jump)
+            if move > 0:
                 at += move
                 continue
-            for pattern, items in self.buckets[ending]:
-                if text[at - length : at] == pattern:
-                    yield at - length, items
+            window = text[at - length : at]
+            for pattern in self.buckets[-move]:
+                start = self.starts[pattern]
+                if self.held[start : start + length] == window:
+                    yield at - length, self.owners[pattern]
             at += 1
 
 
-def compile_patterns(items: Iterable[tuple[str, bytes]], window: int = WINDOW) -> list[Patterns]:
-    """Patterns of the items ``(id, text)``, grouped by length. Items without words have none."""
-    by_length: dict[int, dict] = defaultdict(lambda: defaultdict(set))
-    for name, text in items:
-        found = words(text)
-        length = min(window, len(found))
-        if length:
-            for at in range(len(found) - length + 1):
-                by_length[length][tuple(found[at : at + length])].add(name)
-    return [Patterns(length, items_of) for length, items_of in sorted(by_length.items())]
+class Pack:
+    """Items ``(id, text)`` as word numbers, and their patterns grouped by length."""
+
+    def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW):
+        self.names: list[str] = []
+        self.numbers: dict[bytes, int] = {}
+        held, owned = array("q"), {}
+        by_length: dict[int, tuple[array, array]] = defaultdict(lambda: (array("q"), array("q")))
+        for name, text in items:
+            found = words(text)
+            length = min(window, len(found))
+            if not length:
+                continue
+            owner = owned.setdefault(name, len(owned))
+            starts, owners = by_length[length]
+            starts.extend(range(len(held), len(held) + len(found) - length + 1))
+            owners.extend([owner] * (len(found) - length + 1))
+            held.extend(self.numbers.setdefault(word, len(self.numbers)) for word in found)
+        self.names = list(owned)
+        self.groups = [Patterns(length, held, *places) for length, places in sorted(by_length.items())]
+
+
+def compile_patterns(items: Iterable[tuple[str, bytes]], window: int = WINDOW) -> Pack:
+    """The items ``(id, text)`` for searching. Items without words have no pattern."""
+    return Pack(items, window)
 
 
-def find(text: bytes, patterns: list[Patterns]) -> tuple[int, list[list[int]], list[str]]:
+def find(text: bytes, pack: Pack) -> tuple[int, list[list[int]], list[str]]:
     """Number of words, merged spans of words inside occurrences, and the items that occur."""
     found = words(text)
+    number = pack.numbers.get
+    numbered = array("q", [number(word, -1) for word in found])
     starts = []
-    items: set[str] = set()
-    for group in patterns:
-        for start, names in group.search(found):
+    items: set[int] = set()
+    for group in pack.groups:
+        for start, owner in group.search(numbered):
             starts.append((start, start + group.length))
-            items |= names
-    return len(found), merge(starts), sorted(items)
+            items.add(owner)
+    return len(found), merge(starts), sorted(pack.names[owner] for owner in items)
 
 
 def merge(spans: Iterable[Iterable[int]]) -> list[list[int]]:
@@ -118,25 +161,46 @@ def merge(spans: Iterable[Iterable[int]]) -> list[list[int]]:
     return out
 
 
-def _packs(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in lists of at most ``PACK`` bytes each (or one item, if it alone is longer)."""
-    named = items.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), text_bytes(F.col("text")).alias("text")
-    ).distinct()
-    size = named.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
-    # twice as many packs as bytes ask for: hashing deals them unevenly
-    packs = 1 if size <= PACK else 2 * -(-size // PACK)
-    held = cut(named.withColumn("pack", F.pmod(F.xxhash64("name", "text"), F.lit(packs))))
+def _packs(items: DataFrame, window: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items, long ones in overlapping parts, in lists of about ``PACK`` windows or fewer each."""
+    found = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0))
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), found.alias("words"))
+    named = named.where(F.size("words") > 0)
+    part = max(1, PACK // 4)
+    # a part starts where a window can: the last one is never shorter than a window, if the item is not
+    first = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(part))
+    parts = named.select("name", "words", F.explode(first).alias("first")).select(
+        "name", F.array_join(F.slice("words", F.col("first") + 1, F.lit(part + window - 1)), " ").alias("text")
+    )
+    held = cut(parts.distinct().withColumn("windows", F.greatest(F.size(F.split("text", " ", -1)) - window + 1, F.lit(1))))
+    windows = held.agg(F.sum("windows")).first()[0] or 0
+    # twice as many packs as windows ask for: hashing deals them unevenly
+    packs = 1 if windows <= PACK else 2 * -(-windows // PACK)
+    number = F.pmod(F.xxhash64("name", "text"), F.lit(packs))
     for pack in range(packs):
-        yield [(row["name"], bytes(row["text"])) for row in held.where(F.col("pack") == pack).collect()]
+        rows = held.where(number == pack).select("name", F.col("text").cast("binary").alias("text")).collect()
+        yield [(row["name"], bytes(row["text"])) for row in rows]
+
+
+class _Sent:
+    """A broadcast pack, compared by its number when a worker asks whether it has compiled it already."""
+
+    def __init__(self, number: str, items: list[tuple[str, bytes]], window: int):
+        self.number, self.items, self.window = number, items, window
+
+    def __eq__(self, other) -> bool:
+        return self.number == getattr(other, "number", None)
+
+    def compiled(self) -> Pack:
+        return compile_patterns(self.items, self.window)
 
 
 def _searcher(spark: SparkSession, pack: list[tuple[str, bytes]], window: int):
-    sent = spark.sparkContext.broadcast(pack)
+    sent, number = spark.sparkContext.broadcast(pack), uuid.uuid4().hex
 
     @F.pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        patterns = compile_patterns(sent.value, window)
+        patterns = kept(_Sent.compiled, _Sent(number, sent.value, window))
         for texts in batches:
             yield pd.DataFrame([find(text, patterns) for text in texts], columns=FOUND.names)
 
@@ -157,7 +221,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[Dat
     """
     spark, name, later = docs.sparkSession, fresh(docs, "found"), fresh(docs, "more")
     out = None
-    for pack in _packs(items):
+    for pack in _packs(items, window):
         seen = _searcher(spark, pack, window)(text_bytes(F.col("text")))
         if out is None:
             out = docs.withColumn(name, seen)
