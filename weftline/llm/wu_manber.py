@@ -90,18 +90,20 @@ class Patterns:
     def _block(self, numbers, end: int) -> int:
         return numbers[end - 2] << 32 | numbers[end - 1] if self.block == 2 else numbers[end - 1]
 
-    def search(self, text: array) -> Iterator[tuple[int, int]]:
+    def search(self, text: list[bytes], numbers: dict[bytes, int]) -> Iterator[tuple[int, int]]:
         """Where occurrences start, from left to right, and the number of the item."""
-        moves, jump, length, block = self.moves, self.jump, self.length, self.block
+        moves, jump, length, block, number = self.moves, self.jump, self.length, self.block, numbers.get
         at, last = length, len(text)
         while at <= last:
             # a word that is in no item has the number -1, and no block with it is known
-            ending = text[at - 2] << 32 | text[at - 1] if block == 2 else text[at - 1]
+            ending = number(text[at - 1], -1)
+            if block == 2 and ending >= 0:
+                ending |= number(text[at - 2], -1) << 32
             move = moves.get(ending, jump)
             if move > 0:
                 at += move
                 continue
-            window = text[at - length : at]
+            window = array("q", [number(word, -1) for word in text[at - length : at]])
             for pattern in self.buckets[-move]:
                 start = self.starts[pattern]
                 if self.held[start : start + length] == window:
@@ -139,12 +141,10 @@ def compile_patterns(items: Iterable[tuple[str, bytes]], window: int = WINDOW) -
 def find(text: bytes, pack: Pack) -> tuple[int, list[list[int]], list[str]]:
     """Number of words, merged spans of words inside occurrences, and the items that occur."""
     found = words(text)
-    number = pack.numbers.get
-    numbered = array("q", [number(word, -1) for word in found])
     starts = []
     items: set[int] = set()
     for group in pack.groups:
-        for start, owner in group.search(numbered):
+        for start, owner in group.search(found, pack.numbers):
             starts.append((start, start + group.length))
             items.add(owner)
     return len(found), merge(starts), sorted(pack.names[owner] for owner in items)
