@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import export, graph, reports
+from weftline.operators import export, graph, reach, reports
 from weftline.plans import bindings as b
 from weftline.plans.bindings import bind, plain
 from weftline.plans.registry import query
@@ -133,9 +133,12 @@ _PARTS = _ctes(components=b.PART_COMPONENTS, trace=b.PART_TRACE, hierarchy=b.PAR
 PART_DEPTH = 4
 
 
+def _part_edges(spark, sf):
+    return graph.child_edges(bind(spark, sf, b.PART_CALLS), bind(spark, sf, b.PART_TRACE), bind(spark, sf, b.PART_COMPONENTS))
+
+
 def _part_tree(spark, sf, mode):
-    edges = graph.child_edges(bind(spark, sf, b.PART_CALLS), bind(spark, sf, b.PART_TRACE), bind(spark, sf, b.PART_COMPONENTS))
-    return graph.lineage_tree(graph.first_level(bind(spark, sf, _PART_HITS)), edges, PART_DEPTH, mode)
+    return graph.lineage_tree(graph.first_level(bind(spark, sf, _PART_HITS)), _part_edges(spark, sf), PART_DEPTH, mode)
 
 
 @query("g4_cycles_on_paths", f"WITH RECURSIVE {_PARTS}, {_EDGES}, {_LEVEL_ONE}, {_all_paths(4)} {_SHOW}")
@@ -148,6 +151,57 @@ def first_visits(spark, sf):
     return _shown(_part_tree(spark, sf, "first_visits"))
 
 
+# One search for all parts as roots. Paths only for a hundredth of them: as the query set of a search, against all parts.
+_ASKED_HITS = _PART_HITS + " WHERE p_partkey % 100 = 0"
+_ASKED = _ctes(components=b.PART_COMPONENTS, trace=b.PART_TRACE, hierarchy=b.PART_CALLS, hits=_ASKED_HITS)
+
+
+@query("g4_first_visits_deep", f"WITH {_ASKED}, {_EDGES}, {_LEVEL_ONE}, {_first_visits(DEPTH)} {_SHOW}")
+def first_visits_deep(spark, sf):
+    return _shown(graph.lineage_tree(graph.first_level(bind(spark, sf, _ASKED_HITS)), _part_edges(spark, sf), DEPTH))
+
+
+def _reach(max_depth: int) -> str:
+    """Pairs of root and component by their least depth, a table per level."""
+    ctes = ["reach_1 AS MATERIALIZED (SELECT DISTINCT root_id, component_id FROM hits)"]
+    for d in range(2, max_depth + 1):
+        seen = " UNION ALL ".join(f"SELECT * FROM reach_{i}" for i in range(1, d))
+        ctes.append(
+            f"""reach_{d} AS MATERIALIZED (SELECT n.* FROM (SELECT DISTINCT k.root_id, e.child_id AS component_id FROM reach_{d - 1} k JOIN edges e ON e.parent_id = k.component_id) n
+            ANTI JOIN ({seen}) s ON s.root_id = n.root_id AND s.component_id = n.component_id)"""
+        )
+    ctes.append("reached AS (" + " UNION ALL ".join(f"SELECT *, {d} AS depth FROM reach_{d}" for d in range(1, max_depth + 1)) + ")")
+    return ", ".join(ctes)
+
+
+def _reached(spark, sf):
+    return reach.reach(bind(spark, sf, _PART_HITS), _part_edges(spark, sf), DEPTH)
+
+
+@query(
+    "g4_reached_counts",
+    f"WITH {_PARTS}, {_EDGES}, {_reach(DEPTH)} SELECT root_id, depth, count(*) AS n_components FROM reached GROUP BY root_id, depth",
+)
+def reached_counts(spark, sf):
+    return reach.counts(_reached(spark, sf))
+
+
+@query(
+    "g4_roots_above",
+    f"WITH {_PARTS}, {_EDGES}, {_reach(DEPTH)} SELECT component_id, count(*) AS n_roots, min(depth) AS least_depth FROM reached GROUP BY component_id",
+)
+def roots_above(spark, sf):
+    return reach.roots_above(_reached(spark, sf))
+
+
+@query(
+    "g4_reached_components",
+    f"WITH {_PARTS}, {_EDGES}, {_reach(DEPTH)} SELECT * FROM reached WHERE CAST(root_id AS BIGINT) % 100 = 0",
+)
+def reached_components(spark, sf):
+    return reach.pairs(_reached(spark, sf), bind(spark, sf, _ASKED_HITS))
+
+
 # Table lineage as a user asks for it: roots are tables, the first level what uses them.
 _TABLE_HITS = """
 hits AS (
