@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from weftline.operators import lines, orm, usage
+from weftline.operators import incremental, lines, orm, usage
 from weftline.plans import bindings as b, oracle_text as o
 from weftline.plans.registry import query
 from weftline.session import checkpoint_dir, cut
@@ -241,6 +241,31 @@ def column_usages_large_dictionary(spark, sf):
     return usage.trace_usages(source_files(spark, sf), catalog(spark, sf), broadcast_bytes=0)
 
 
+def _updated_store(spark, sf) -> incremental.TraceStore:
+    """A store of an older state of files and catalog, brought up to date.
+
+    Then, some files were shorter, some were not there, one is gone since; some columns were not there and some had another name.
+    """
+    files, columns = source_files(spark, sf), catalog(spark, sf)
+    digit = F.substring(F.md5("id"), 1, 1)
+    older = files.filter(digit != "0").withColumn("content", F.when(digit == "1", F.concat(F.lit("x = 1\n"), "content")).otherwise(F.col("content")))
+    gone = files.limit(1).withColumn("id", F.lit("gone"))
+    first = F.substring(F.md5("column_id"), 1, 1)
+    lacking = columns.filter(first != "0").withColumn(
+        "column_name", F.when(first == "1", F.concat("column_name", F.lit("_old"))).otherwise(F.col("column_name"))
+    )
+    store = incremental.TraceStore(spark, f"{checkpoint_dir(spark)}/weftline/{uuid.uuid4().hex}")
+    store.update(older.unionByName(gone), lacking)
+    store.update(files, columns)
+    return store
+
+
+@query("t1_t15_incremental_usages", _with(o.TRACE, select=f"SELECT {_USAGE_COLUMNS} FROM usages"))
+def incremental_usages(spark, sf):
+    """The usages of a store after a change of files and catalog: those of a whole trace."""
+    return _updated_store(spark, sf).usages()
+
+
 @query(
     "t13_mapped_matches",
     _with(
