@@ -218,3 +218,30 @@ def test_fields_are_found_among_tokens(spark):
     )
     got = [r[0] for r in df.select(usage._mapped_probes(F.col("tokens"), F.col("field_map"))).collect()]
     assert got == [["mapped:c1", "mapped:c3"], [], [], []]
+
+
+def test_marks_of_lines_say_what_the_rules_say_of_contexts(spark):
+    """Every line, by its marks and by all rules over its context; some rules match over the end of a line."""
+    texts = {
+        "typescript": "import { PrismaClient } from '@prisma/client'\nprisma.t.findMany({\n  select\n  : {a: true}\n})\n" + "x\n" * 12 + "where:\n\n{\ny\nprisma.u\n.update(z)",
+        "python": "from sqlalchemy import x\n" + "a = 1\n" * 8 + "q.filter(a)\ninsert into t\nupdate t\nq = 1\nset x = 2\nsession.query\n(M)\n" + "b\n" * 7 + "q.join (z)\n.execute(1\nselect)",
+        "java": "import org.hibernate.x;\r\n@ManyToOne\r\nem.persist\r\n(x)\r\n" + "c;\n" * 11 + "JOIN\n  FETCH\n\nSELECT x\n",
+        "sql": "straße ſelect\nselect a\n\nfrom t where x = 1\njoin u\n" + "-\n" * 6 + "DELETED\ndelete",
+    }
+    rows = [(f"f{i}", "p", language, text) for i, (language, text) in enumerate(texts.items())]
+    files = spark.createDataFrame(rows, "id string, project_id string, language string, content string")
+    tagged = files.withColumn("orms", orm.mappers_of(F.col("content"), F.col("language")))
+    windows = lines.window_lines(lines.line_blocks(tagged, ["orms"], 7), ["orms"]).withColumn("context", lines.context_text())
+    expected = windows.filter(lines.is_code_line(F.col("line"))).select(
+        "file_id", "line_number", orm.mapper_usage(F.col("context"), F.col("orms")).alias("by_mapper"), orm.context_usage(F.col("context")).alias("by_context")
+    )
+    for size in (7, 1000):
+        marked = orm.with_marks(lines.line_blocks(tagged.withColumn("crosses", F.lit(False)), ["orms", "crosses"], size))
+        alone = lines.window_lines(marked, ["orms", "crosses"], orm.MARKS).select(
+            "file_id", "line_number", orm.marked_mapper_usage(F.lit(""), F.col("orms")).alias("by_mapper")
+        )
+        got = usage.line_usages(files).select("file_id", "line_number", "by_mapper", "by_context")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+        # the marks alone miss what crosses a line's end
+        assert alone.join(expected, ["file_id", "line_number"]).filter(~alone["by_mapper"].eqNullSafe(expected["by_mapper"])).take(1)
+    assert {r.by_context for r in expected.collect()} >= {"write", "update", "delete", "filter", "projection", "read"}
