@@ -225,3 +225,21 @@ def test_files_stand_in_for_components(spark):
     known = graph.known_components(components(spark, ["x"]), once)
     tree = graph.decorate(graph.lineage_tree(graph.first_level(once), links), roots, known)
     assert {(r.name, r.type) for r in tree.collect()} == {("users", "TABLE"), ("a.go", "FUNCTION"), ("b.go", "FUNCTION")}
+
+
+def test_each_level_is_written_once(spark, monkeypatch):
+    """Links and one table per level; rows without root or component are leaves."""
+    known = components(spark, "abcd")
+    linked = edges(spark, known, calls=[("a", "b", 1), ("a", "c", 2), ("b", "d", 1), ("c", "d", 1), ("d", "a", 1)])
+    top = hits(spark, ("r", "a"), ("r", "b"), ("r", "b"), (None, "a"), ("r", None))
+    written, plain = [], graph.cut_level
+    monkeypatch.setattr(graph, "cut_level", lambda df: written.append(df) or plain(df))
+    tree = graph.first_visits(top, linked, 4)
+    # the cycle back to a ends the search: its level is written, the next one is looked at and empty
+    assert len(written) <= 5
+    rows = [(r.root_id, r.component_id, r.depth, r.is_cycle) for r in tree.collect()]
+    expected = [
+        ("r", "a", 1, False), ("r", "b", 1, False), ("r", "b", 1, True), (None, "a", 1, True), ("r", None, 1, True),
+        ("r", "b", 2, True), ("r", "c", 2, False), ("r", "d", 2, False), ("r", "d", 3, True), ("r", "a", 3, True),
+    ]
+    assert sorted(rows, key=str) == sorted(expected, key=str)
