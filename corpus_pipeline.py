@@ -24,7 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays.
+
+    SimHash fingerprints of five-word shingles give the first links, min-hash bands those farther apart; all are verified at similarity 0.8 or more.
+    """
     return one_of_each(docs)
 
 

@@ -5,7 +5,7 @@ import random
 import re
 
 import corpus_pipeline
-from weftline.llm import mixing, near_copies, wu_manber
+from weftline.llm import mixing, near_copies, simhash, wu_manber
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +109,33 @@ def test_stages_on_odd_documents(spark):
             docs = stage(spark, docs, SF).cache()
             assert name == "sharding" or docs.columns == columns
             docs.count()
+
+
+def test_simhash_gives_the_first_links(spark, monkeypatch):
+    """Long texts with one word changed, linked by their fingerprints alone; the search lists what all pairs within two bits connect."""
+    rng = random.Random(11)
+    texts = []
+    for group in range(6):
+        words = [f"{group}w{rng.randrange(10**6)}" for _ in range(2_000)]
+        texts += [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(0, 400, 40)]
+    texts += [texts[0].upper(), "two words", "Two  words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    sketches = near_copies.sketched(docs)
+    sims = {r["fp"]: r["sim"] for r in sketches.where("n > 0").collect()}
+    assert sims[near_copies.set_id(near_copies.shingle_set(b"two words"))] == simhash.simhash(b"two words", near_copies.SHINGLE)
+    nodes = sketches.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("sim", "n")])
+    got = {tuple(sorted((r["a"], r["b"]))) for r in near_copies._by_simhash(nodes).collect()}
+    close = {(a, b) for a, b in itertools.combinations(sorted(sims), 2) if ((sims[a] ^ sims[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert got and got <= {(a, b) for a, b in itertools.combinations(sorted(sims), 2)}
+
+    def classes(pairs):
+        least = {i: i for i in sims}
+        for _ in sims:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    assert classes(got) == classes(close)
+    plain = near_copies._entries
+    monkeypatch.setattr(near_copies, "_entries", lambda *given: plain(*given).where("false"))
+    assert near_copies.links(docs, sketches).count() >= len(sims) - len(set(classes(close).values())) > 0

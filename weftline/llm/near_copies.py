@@ -1,15 +1,18 @@
-"""Near copies by the true similarity of five-word shingles, all pairs of 0.8 or more.
-
-SimHash alone cannot find them: at similarity 0.8 some ten of 64 bits differ, and
-a search that wide meets a fixed share of all pairs. So candidates come from
-min-hash bands: a text has ``BANDS`` keys of ``ROWS`` minima each, and two texts of
+"""Near copies by SimHash and the true similarity of five-word shingles, all pairs of 0.8 or more.
+
+Each text has a SimHash fingerprint of its five-word shingles. The multi-index search of
+:mod:`weftline.llm.simhash` links fingerprints within two bits, and what it links is held
+against each other on the complete sets of shingles: these are the first classes, in which
+all the closest copies are. SimHash alone cannot find the others: at similarity 0.8 some ten
+of 64 bits differ, and a search that wide meets a fixed share of all pairs. So further candidates
+come from min-hash bands: a text has ``BANDS`` keys of ``ROWS`` minima each, and two texts of
 similarity s share none with probability (1 - s^ROWS)^BANDS, 0.04 % at 0.8 and
 less above. What counts is verified on the complete sets of shingles. Texts with
 equal sets are one node, so copies never meet in pairs.
 
 What is wanted are classes, so a candidate pair whose ends are in one class already
 needs no verification. The nodes are sorted by key and by an order that is the
-same in all bands, and
+same in all bands, and after the classes by SimHash
 
 1. in each bucket all are held against the first, which is the same node in most
    buckets of a group of near copies, so that there are few distinct pairs;
@@ -117,7 +120,10 @@ def mark(text: Column) -> Column:
     return _ids(text_bytes(text))
 
 
-@F.pandas_udf(StructType().add("fp", LongType()).add("n", IntegerType()).add("keys", ArrayType(LongType())).add("minima", BinaryType()))
+_SKETCH = StructType().add("fp", LongType()).add("sim", LongType()).add("n", IntegerType())
+
+
+@F.pandas_udf(_SKETCH.add("keys", ArrayType(LongType())).add("minima", BinaryType()))
 def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     _give_back()
     for texts in batches:
@@ -127,8 +133,8 @@ def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             least = minima(shingles) if len(shingles) else np.zeros(0, "<u8")
             keys = _keys(least).tolist() if len(shingles) else []
             # the minima spread evenly, so their last bits tell them apart
-            rows.append((set_id(shingles), len(shingles), keys, least.astype("<u2").tobytes()))
-        yield pd.DataFrame(rows, columns=["fp", "n", "keys", "minima"])
+            rows.append((set_id(shingles), simhash.majority(shingles), len(shingles), keys, least.astype("<u2").tobytes()))
+        yield pd.DataFrame(rows, columns=["fp", "sim", "n", "keys", "minima"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +292,15 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
 
 
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that ``links`` have not brought into one class."""
+    roots = cut(components(links))
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
+    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return known.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
+
+
 def _between_classes(labelled: DataFrame) -> DataFrame:
     """Distinct ``a, b``: in each bucket one node of a class, and one of each other class."""
     least = F.min(F.struct(F.xxhash64("fp", F.lit(1)).alias("h"), "fp", "n")).alias("one")
@@ -321,8 +336,27 @@ def _rest(labelled: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_blocks, "a long, b long")
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Distinct ``a, b`` to verify: nodes whose SimHash fingerprints are equal or linked within two bits.
+
+    One node stands for a fingerprint, so equal ones do not meet in pairs; the linked ones are few,
+    as :func:`weftline.llm.simhash.links` lists pairs of small buckets and a star for each file of the large ones.
+    """
+    filled = nodes.where("n > 0").select("fp", "sim", "n")
+    heads = cut(filled.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("head")))
+    equal = filled.join(heads, "sim").select(F.col("head.fp").alias("a"), F.col("head.n").alias("an"), F.col("fp").alias("b"), F.col("n").alias("bn"))
+    linked = simhash.links(heads.select(F.col("sim").alias("fp")))
+    one = heads.select(F.col("sim").alias("a"), F.col("head").alias("one"))
+    other = heads.select(F.col("sim").alias("b"), F.col("head").alias("other"))
+    between = linked.join(one, "a").join(other, "b").select(
+        F.col("one.fp").alias("a"), F.col("one.n").alias("an"), F.col("other.fp").alias("b"), F.col("other.n").alias("bn")
+    )
+    pairs = equal.unionByName(between).where("a <> b")
+    return pairs.where(F.least("an", "bn") >= F.lit(SIMILAR) * F.greatest("an", "bn")).select("a", "b").distinct()
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, n, keys, minima`` for every row of ``docs (doc_id, text)``."""
+    """``doc_id, fp, sim, n, keys, minima`` for every row of ``docs (doc_id, text)``."""
     sketches = docs.select("doc_id", _sketches(text_bytes(F.col("text"))).alias("s"))
     return cut(sketches.select("doc_id", "s.*"))
 
@@ -333,18 +367,21 @@ def links(docs: DataFrame, sketches: DataFrame, crowd: int = CROWD) -> DataFrame
     Their components are those of all candidate pairs that are similar. Null and
     empty texts have no shingles and no links.
     """
-    nodes = cut(sketches.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("doc_id", "n", "keys", "minima")]))
+    nodes = cut(sketches.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("doc_id", "sim", "n", "keys", "minima")]))
+    near = cut(_by_simhash(nodes))
     ordered = ["key", F.xxhash64("fp"), "fp"]
     ranged = _entries(nodes).repartitionByRange(*ordered).sortWithinPartitions(*ordered)
     pairs = cut(ranged.select("key", "fp", "n").mapInArrow(_pairs, "a long, b long").distinct())
-    meet = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    ends = pairs.unionByName(near)
+    meet = ends.select(F.col("a").alias("fp")).unionByName(ends.select(F.col("b").alias("fp"))).distinct()
     met = cut(nodes.join(meet, "fp", "left_semi"))
     ids = met.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(text_bytes(F.col("text")).alias("text"))
     # other texts with these ids do no harm
     sets = texts.mapInArrow(_sets, "fp long, shingles binary")
     sets = cut(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    found = cut(_verified(pairs.where("a <> b"), sets))
+    found = cut(_verified(near, sets))
+    found = found.unionByName(cut(_verified(_apart(pairs.where("a <> b"), found), sets)))
     found = found.unionByName(cut(_verified(_between_classes(_labelled(met, found)), sets)))
     labelled = cut(_labelled(met, found))
     return found.unionByName(cut(_rest(labelled, sets, crowd)))

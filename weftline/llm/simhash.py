@@ -53,7 +53,11 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, parts)), "<u8")
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, parts)), "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are one in more than half of the hashes, as a signed integer; zero for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         chunk = hashes[at : at + CHUNK]
