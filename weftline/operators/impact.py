@@ -55,8 +55,9 @@ def file_nodes(detail: DataFrame) -> DataFrame:
 def file_usages(detail: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """The usages of each file as nested lists."""
     item = F.struct("column_name", "table_name", "usage_type", "line_number")
-    order = [F.col(c) for c in ("line_number", "table_name", "column_name", "usage_type", "usage_id")]
-    return nested_pages(detail, ["project_id", "file_id"], order, item, "usages", page_rows)
+    keys, order = ["project_id", "file_id"], ["line_number", "table_name", "column_name", "usage_type", "usage_id"]
+    # snippets and contexts are not shown, so they are not written either
+    return nested_pages(detail.select(*keys, *order), keys, [F.col(c) for c in order], item, "usages", page_rows)
 
 
 def table_file_edges(detail: DataFrame) -> DataFrame:
