@@ -1,6 +1,18 @@
 """Steps whose memory, texts or shuffles would grow without need."""
 
-from weftline.operators import maintenance
+from weftline.operators import catalog, maintenance
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_not_searched_once_more_for_a_size(spark):
+    text = "CREATE TABLE t (\n  a INT PRIMARY KEY,\n  b TEXT\n);"
+    files = spark.createDataFrame([("f", "p", "x.sql", "sql", text), ("g", "p", "y.sql", "sql", "x")], "id string, project_id string, file_path string, language string, content string")
+    found = catalog.ddl_columns(files)
+    assert [r.column_name for r in found.orderBy("col_seq").collect()] == ["a", "b"]
+    assert not [line for line in plan(found).splitlines() if "Filter" in line and "size(" in line]
 
 
 def test_purged_columns_are_read_once(spark):

@@ -284,13 +284,18 @@ def table_columns(files: DataFrame, wanted: dict[str, Column]) -> DataFrame:
         parser = PARSERS[name]
         tables = F.transform(parser.tables(content), _tagged(name))
         found.append(F.when(wanted[name] & parser.applies(content, language), tables).otherwise(nothing))
-    parts = texts.select(*FILE, F.inline(F.concat(*found))).select(
+    # Outer generators over named arrays get no size filter pushed below them, which would search every text twice.
+    bodies = texts.select(*FILE, F.concat(*found).alias("_found")).select(*FILE, F.inline_outer("_found")).filter("parser IS NOT NULL")
+    listed = bodies.select(
         *FILE,
         "parser",
         "table_seq",
         F.coalesce("named", plural_table(F.col("head"))).alias("table_name"),
-        F.posexplode(_by_parser(names, lambda p: p.parts(F.col("body")))).alias("col_seq", "part"),
+        _by_parser(names, lambda p: p.parts(F.col("body"))).alias("_parts"),
     )
+    parts = listed.select(
+        *FILE, "parser", "table_seq", "table_name", F.posexplode_outer("_parts").alias("col_seq", "part")
+    ).filter("col_seq IS NOT NULL")
     part = [F.col(f"part.{x}") for x in "abcd"]
     kept = parts.filter(_by_parser(names, lambda p: p.keep(*part)))
     none = F.lit(None).cast("string")
