@@ -1,6 +1,7 @@
 """Steps whose memory, texts or shuffles would grow without need."""
 
 from weftline.operators import catalog, maintenance
+from weftline.plans import trace_queries
 
 
 def plan(df):
@@ -39,3 +40,10 @@ def test_purged_columns_are_read_once(spark):
         "projects": ["b"],
     }
     assert kept["db_columns"].inputFiles() and kept["db_schemas"].inputFiles()
+
+
+def test_archives_are_packed_and_unpacked_by_turns(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    files = trace_queries.unpacked_files(spark, str(tmp_path))
+    assert plan(files).count("MapInPandas") == 1 and files.count() == 20

@@ -80,7 +80,8 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unpacked_files(spark, sf):
     """Every document packed into an archive of its own, beside two entries that are no code, and unpacked."""
     packed = _as_files(spark, sf, F.concat(F.lit("d"), F.col("doc_id").cast("string")))
-    blobs = packed.mapInPandas(_pack, "project_id string, archive binary")
+    # written, so that a task has one Python worker at a time, which packs first and unpacks then
+    blobs = cut(packed.mapInPandas(_pack, "project_id string, archive binary"))
     return corpus.unpacked_files(corpus.unpack(blobs)).withColumn("content", F.md5("content"))
 
 
