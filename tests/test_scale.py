@@ -1,6 +1,6 @@
 """Steps whose memory, texts or shuffles would grow without need."""
 
-from weftline.operators import catalog, maintenance
+from weftline.operators import catalog, maintenance, reports
 from weftline.plans import trace_queries
 
 
@@ -47,3 +47,12 @@ def test_archives_are_packed_and_unpacked_by_turns(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     files = trace_queries.unpacked_files(spark, str(tmp_path))
     assert plan(files).count("MapInPandas") == 1 and files.count() == 20
+
+
+def test_tasks_of_usages_grow_in_number(spark):
+    usages = spark.range(2000).selectExpr("concat('u', id) AS id", "'c' AS column_id", "concat('f', id % 500) AS source_file_id", "1 AS line_number", "'read' AS usage_type", "'' AS code_snippet", "'' AS context")
+    columns = spark.createDataFrame([("c", "s", "name", "INT", False, False, None, None, None)], "id string, schema_id string, column_name string, data_type string, is_primary_key boolean, is_foreign_key boolean, foreign_table string, foreign_column string, ai_description string")
+    schemas = spark.createDataFrame([("s", "p", "t")], "id string, project_id string, table_name string")
+    files = spark.range(500).selectExpr("concat('f', id) AS id", "concat('src/', id) AS file_path", "'go' AS language")
+    dealt = reports.usage_detail(usages, columns, schemas, files, task_rows=100)
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.distinct().count() == 2000
