@@ -113,14 +113,16 @@ def links(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         .agg(F.collect_list("fp").alias("members"))
         .withColumn("members", F.when(F.size("members") <= bucket, F.col("members")))
     )
-    looked = fingerprints.select("fp", F.explode(_probes()).alias("key")).join(buckets, "key")
+    # Spark takes the 34 probes of a fingerprint, and its two entries, for one row: neither side must be broadcast for that
+    looked = fingerprints.select("fp", F.explode(_probes()).alias("key")).join(buckets.hint("merge"), "key")
     near = F.filter("members", lambda m: (m > F.col("fp")) & (F.bit_count(m.bitwiseXOR(F.col("fp"))) <= DISTANCE))
     found = looked.select("fp", F.col("members").isNull().alias("crowded"), near.alias("near"))
     found = cut(found.where("crowded or size(near) > 0"))
     listed = found.where("not crowded").select(F.col("fp").alias("a"), F.explode("near").alias("b"))
     filed = found.where("crowded").select("fp").distinct().select("fp", F.explode(_ball()).alias("key"))
     shared = filed.groupBy("key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where("size(all) > 1")
-    return listed.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
+    # written, as lists of pairs too are larger than Spark takes them for, and who joins them must know
+    return cut(listed.unionByName(shared.select("a", F.explode("all").alias("b")).where("a <> b")).distinct())
 
 
 def classes(rows: DataFrame, bucket: int = BUCKET, linked: Callable[[DataFrame, int], DataFrame] = links) -> DataFrame:
