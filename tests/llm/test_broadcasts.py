@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark import cloudpickle
+
 from weftline import session
 from weftline.llm import near_copies, simhash
 
@@ -39,3 +41,22 @@ def test_probes_of_fingerprints_are_not_broadcast(spark, monkeypatch):
     pairs = {(r["a"], r["b"]) for r in simhash.links(fingerprints).collect()}
     assert {tuple(sorted(p)) for p in zip(values[:300], values[300:])} <= pairs
     assert seen and not any(seen)
+
+
+def test_band_keys_of_nodes_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = near_copies.sketched(docs)
+    seen = watched(monkeypatch)
+    near_copies.links(docs, sketches).count()
+    assert seen and not any(seen)
+
+
+def test_near_copies_after_fingerprints(spark):
+    """A session that has run op10 still sends the sketches of the pipeline to its workers."""
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 2
+    assert cloudpickle.dumps(near_copies._sketches.func)
+    assert near_copies.sketched(docs).count() == 2

@@ -42,6 +42,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from weftline.llm import simhash
 from weftline.llm.common import text_bytes
 from weftline.llm.components import components
+from weftline.llm.simhash import majority
 from weftline.session import cut
 
 SHINGLE = 5
@@ -133,7 +134,7 @@ def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             least = minima(shingles) if len(shingles) else np.zeros(0, "<u8")
             keys = _keys(least).tolist() if len(shingles) else []
             # the minima spread evenly, so their last bits tell them apart
-            rows.append((set_id(shingles), simhash.majority(shingles), len(shingles), keys, least.astype("<u2").tobytes()))
+            rows.append((set_id(shingles), majority(shingles), len(shingles), keys, least.astype("<u2").tobytes()))
         yield pd.DataFrame(rows, columns=["fp", "sim", "n", "keys", "minima"])
 
 
@@ -306,7 +307,8 @@ def _between_classes(labelled: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.xxhash64("fp", F.lit(1)).alias("h"), "fp", "n")).alias("one")
     ones = _entries(labelled, "class").groupBy("key", "class").agg(least)
     heads = ones.groupBy("key").agg(F.count("*").alias("classes"), F.min("one").alias("head")).where("classes > 1")
-    both = ones.join(heads.drop("classes"), "key").where("one.fp <> head.fp")
+    # a row per band, which Spark counts as one per node: such a table must not be broadcast
+    both = ones.join(heads.drop("classes").hint("merge"), "key").where("one.fp <> head.fp")
     both = both.where(F.least("one.n", "head.n") >= F.lit(SIMILAR) * F.greatest("one.n", "head.n"))
     return both.select(F.col("head.fp").alias("a"), F.col("one.fp").alias("b")).distinct()
 
@@ -320,7 +322,7 @@ def _rest(labelled: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / crowd)).cast("int").alias("ys")
     outer = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("largest.n")) / crowd)).cast("int").alias("xs")
     buckets = buckets.select("key", F.col("largest.class").alias("largest"), outer, blocks)
-    met = cut(entries.join(buckets, "key").drop("n"))
+    met = cut(entries.join(buckets.hint("merge"), "key").drop("n"))
 
     def dealt(into: str, by: int) -> Column:
         return F.pmod(F.xxhash64("fp", F.lit(by)), F.col(into)).cast("int")
@@ -332,7 +334,8 @@ def _rest(labelled: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
     inside = met.withColumn("x", each("xs")).withColumn("y", dealt("ys", 2)).withColumn("outside", F.lit(False))
     outside = met.where("class <> largest").withColumn("x", dealt("xs", 3)).withColumn("y", each("ys")).withColumn("outside", F.lit(True))
     rows = inside.select(*place).unionByName(outside.select(*place))
-    rows = rows.join(labelled.select("fp", "keys", "minima"), "fp").join(sets, "fp").select(*place, "keys", "minima", "shingles")
+    # a node has as many rows here as its buckets have blocks
+    rows = rows.hint("merge").join(labelled.select("fp", "keys", "minima"), "fp").join(sets, "fp").select(*place, "keys", "minima", "shingles")
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_blocks, "a long, b long")
 
 
