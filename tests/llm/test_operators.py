@@ -559,7 +559,7 @@ def test_op1_finds_every_assigned_token(spark):
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_check_text(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     result = connection.execute(CHECKS[name])
     names = [d[0] for d in result.description]
